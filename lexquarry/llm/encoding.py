@@ -35,7 +35,7 @@ GOOD = "".join(sorted(set(LATIN + LATIN.upper().replace("SS", "") + UK + UK.uppe
 #: Scripts without case are expected too; a garbled text never gets there by the round trips below.
 OTHER = "֐-ࣿऀ-෿฀-໿ᄀ-ᇿ぀-ヿ㐀-鿿가-힯　-〿＀-￯"
 _UP = "".join(sorted(c for c in set(LATIN.upper() + UK.upper() + "ĽĹŔ©") if ord(c) > 127))
-#: Any garbled text holds a sign found by this; it runs in the JVM as well.
+#: Any garbled text holds a sign found by this. (Java scans so large a sign class many times slower than Python does.)
 SUSPECT = rf"[^\x00-\x7f{GOOD}{OTHER}]|[a-zа-яєії{LATIN}][{_UP}]"
 SUSPECT_RE = re.compile(SUSPECT)
 
@@ -210,21 +210,20 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for t in b.column("text").to_pylist():
+        out, at = [], []
+        for k, t in enumerate(b.column("text").to_pylist()):
+            if not SUSPECT_RE.search(t):
+                continue
             new, _, made = repair(t)
+            at.append(k)
             out.append({"restored": new, "steps": made, "lost": "�" in new or CONTROL.search(new) is not None})
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("field"), pa.array(out, pa.struct([("restored", pa.string()), ("steps", pa.list_(pa.string())), ("lost", pa.bool_())]))], ["id", "field", "r"])
-
-
-def suspect(column: str):
-    """``column`` where it may be garbled, else null: whole texts without a suspicious sign never leave the JVM."""
-    return F.when(F.col(column).rlike(SUSPECT), F.col(column))
+        i = pa.array(at, pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("id").take(i), b.column("field").take(i), pa.array(out, pa.struct([("restored", pa.string()), ("steps", pa.list_(pa.string())), ("lost", pa.bool_())]))], ["id", "field", "r"])
 
 
 def garbled_fields(legal: DataFrame) -> DataFrame:
     """``id, field`` of the current legal documents whose title or content is garbled."""
-    d = legal.select("id", "updated_at", suspect("title").alias("title"), suspect("content").alias("content"))
+    d = legal.select("id", "updated_at", "title", "content")
     schema = f"id string, updated_at {dict(legal.dtypes)['updated_at']}, title boolean, content boolean"
     flags = newest(d.mapInArrow(_flags, schema), "id", "updated_at", "title", "content")
     return flags.select("id", F.expr("stack(2, 'title', title, 'content', content) as (field, hit)")).where("hit").select("id", "field")
@@ -232,7 +231,7 @@ def garbled_fields(legal: DataFrame) -> DataFrame:
 
 def repaired_fields(legal: DataFrame) -> DataFrame:
     """``id, field, restored, steps, lost``: the garbled fields of all stored states, mended; ``lost`` where letters are gone for good."""
-    d = legal.select("id", F.explode(F.array(F.struct(F.lit("title").alias("field"), suspect("title").alias("text")), F.struct(F.lit("content").alias("field"), suspect("content").alias("text")))).alias("x"))
+    d = legal.select("id", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("content").alias("field"), F.col("content").alias("text")))).alias("x"))
     d = d.select("id", "x.field", "x.text").where("text is not null")
     out = d.mapInArrow(_mended, "id string, field string, r struct<restored:string,steps:array<string>,lost:boolean>")
     return out.select("id", "field", "r.*").where("size(steps) > 0 or lost").distinct()
