@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sentences", "neighbours", "splitting", "encoding", "near_copies", "scans", "packing", "mixing", "cut_texts")
+MODULES = ("sentences", "neighbours", "splitting", "encoding")
 
 
 def _all(name: str) -> dict:
