@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sentences", "neighbours", "splitting", "encoding", "near_copies")
+MODULES = ("sentences", "neighbours", "splitting", "encoding", "near_copies", "scans")
 
 
 def _all(name: str) -> dict:
