@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sentences", "neighbours", "splitting", "encoding", "near_copies", "scans")
+MODULES = ("sentences", "neighbours", "splitting", "encoding", "near_copies", "scans", "cut_texts")
 
 
 def _all(name: str) -> dict:
