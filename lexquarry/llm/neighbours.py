@@ -1,10 +1,9 @@
 """Problem 2: the most similar vectors of every vector, as a block matrix join.
 
-Every usable vector is scaled to length one, quantised to int8 and put into the ``copies`` nearest of a number of cells, whose
-pivots are a bounded sample of the vectors. Inside a cell, blocks of codes are multiplied tile by tile; the integer products
-give similarities with a proven quantisation error, so that a pair is left out only if its upper bound is below the threshold
-or below the k-th best lower bound of both its vectors. Surviving pairs are recomputed in float from the full vectors and the
-best k of each vector are merged. Cells keep the work per vector constant as the collection grows; a cell with more rows than
+Every usable vector is scaled to length one and put into the ``copies`` nearest of a number of cells, whose pivots are a bounded sample
+of the vectors. Inside a cell, blocks of vectors are quantised to int8 and multiplied tile by tile; the integer products give
+similarities with a proven quantisation error, so that a pair is left out only if its upper bound is below the threshold.
+Surviving pairs are recomputed in float, and the best k of each vector of a tile are merged with those of its other tiles. Cells keep the work per vector constant as the collection grows; a cell with more rows than
 a block is worked off as pairs of blocks in separate tasks, so that none is cut short. Two similar vectors meet if they share
 one of their cells: on the test tables at least 0.997 of the pairs of similarity 0.9 do (see the README).
 
@@ -17,6 +16,7 @@ once; ties are broken by the smaller id.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import newest, table
+from ..session import cut
 
 BLOCK = 4096
 #: The float rounding of a product of two unit vectors of a few hundred values.
@@ -47,87 +48,80 @@ def _unit(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode(pivots: np.ndarray, copies: int, dimension: int):
-    """One row with codes, error and cells for each vector."""
+    """A digest of group and vector for each row, and the cells of the first row with it in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
+        seen: set[bytes] = set()
         for b in batches:
             b = b.take(pa.array(_usable(b.column("vec"), dimension)))
             if not b.num_rows:
                 continue
             raw, u = _unit(b.column("vec"), dimension)
-            scale = np.abs(u).max(axis=1) / 127.0
-            q = np.rint(u / scale[:, None]).astype(np.int8)
-            err = np.sqrt(((u - q * scale[:, None]) ** 2).sum(axis=1)) + 1e-7
             near = u.astype(np.float32) @ pivots.T
             c = min(copies, near.shape[1])
-            cells = np.argpartition(-near, c - 1, axis=1)[:, :c].astype(np.int32)
-            raw = raw + np.float32(0)  # -0.0 becomes 0.0
-            key = [hashlib.blake2b(r.tobytes(), digest_size=12).digest() for r in raw]
+            cells = np.argpartition(-near, c - 1, axis=1)[:, :c]
+            vec = [r.tobytes() for r in raw + np.float32(0)]  # -0.0 becomes 0.0
+            keys = [hashlib.blake2b(r, digest_size=12, key=g.encode()[:64]).digest() for r, g in zip(vec, b.column("grp").to_pylist())]
+            new = []
+            for k in keys:
+                new.append(k not in seen)
+                seen.add(k)
+            lists = [x if y else None for x, y in zip(cells.tolist(), new)]
+            vec = [x if y else None for x, y in zip(vec, new)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("grp"), b.column("id"), pa.array(key, pa.binary()), pa.array([r.tobytes() for r in q], pa.binary()),
-                    pa.array(scale, pa.float64()), pa.array(err, pa.float64()), pa.ListArray.from_arrays(np.arange(0, c * len(q) + 1, c, dtype=np.int32), cells.ravel()),
-                ],
-                ["grp", "id", "key", "code", "scale", "err", "cells"],
-            )
+                [b.column("grp"), b.column("id"), pa.array(keys, pa.binary()), pa.array(vec, pa.binary()), pa.array(lists, pa.list_(pa.int32()))],
+                ["grp", "id", "key", "vec", "cells"],
+            )
 
     return run
 
 
-def _tiles(k: int, least: float, dimension: int):
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        ti, tj = key[2].as_py(), key[3].as_py()
-        ids = t.column("id").to_numpy()
-        block = t.column("block").to_numpy()
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int8).reshape(-1, dimension).astype(np.float32)
-        scale, err = t.column("scale").to_numpy(), t.column("err").to_numpy()
-        at_a, at_b = np.flatnonzero(block == ti), np.flatnonzero(block == tj)
-        out_a, out_b = [], []
-        for s in range(0, len(at_a), BLOCK):
-            a = at_a[s : s + BLOCK]
-            # integer products of int8 codes are exact in float32: 127 * 127 * dimension stays below 2 ** 24
-            sim = (code[a] @ code[at_b].T).astype(np.float64)
-            sim *= scale[a][:, None]
-            sim *= scale[at_b][None, :]
-            # |<x,y> - <x',y'>| <= |x - x'| |y| + |x'| |y - y'|
-            bound = err[a][:, None] + (1 + err[a])[:, None] * err[at_b][None, :] + ROUNDING
-            ok = sim + bound >= least
-            if ti == tj:
-                ok &= at_b[None, :] != a[:, None]
-            x, y = np.nonzero(ok)
-            out_a.append(a[x])
-            out_b.append(at_b[y])
-            if len(x) > 4 * k * len(a):  # heaps: of many survivors keep those that can be among the k best of either vector
-                low, high = sim[x, y] - bound[x, y], sim[x, y] + bound[x, y]
-                keep = np.zeros(len(x), bool)
-                for side, n in ((x, len(a)), (y, len(at_b))):
-                    order = np.lexsort((-low, side))
-                    first = np.searchsorted(side[order], np.arange(n))
-                    kth = first + k - 1
-                    ok_k = (kth < len(order)) & (side[order][np.minimum(kth, len(order) - 1)] == np.arange(n))
-                    limit = np.where(ok_k, low[order][np.minimum(kth, len(order) - 1)], -np.inf)
-                    keep |= high >= limit[side]
-                out_a[-1], out_b[-1] = a[x[keep]], at_b[y[keep]]
-        x = ids[np.concatenate(out_a)] if out_a else np.empty(0, object)
-        y = ids[np.concatenate(out_b)] if out_b else np.empty(0, object)
-        swap = x > y
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        pairs = sorted(set(zip(x.tolist(), y.tolist())))
-        g = key[0].as_py()
-        return pa.table({"grp": pa.array([g] * len(pairs), pa.string()), "a": pa.array([p[0] for p in pairs], pa.string()), "b": pa.array([p[1] for p in pairs], pa.string())})
-
-    return run
+def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes of unit vectors, the scale of each and the length of what the code leaves out."""
+    scale = np.abs(u).max(axis=1) / 127.0
+    q = np.rint(u / scale[:, None]).astype(np.int8)
+    return q, scale, np.sqrt(((u - q * scale[:, None]) ** 2).sum(axis=1)) + 1e-7
+
+
+def best_of_tile(u: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, partner, similarity): the pairs of two blocks of rows that can be among the ``k`` best of the row."""
+    q, scale, err = quantise(u)
+    code = q.astype(np.float32)  # integer products of int8 codes are exact in float32: 127 * 127 * dimension stays below 2 ** 24
+    xs, ys = [], []
+    for s in range(0, len(at_a), BLOCK):
+        a = at_a[s : s + BLOCK]
+        sim = code[a] @ code[at_b].T
+        sim *= scale[a].astype(np.float32)[:, None]
+        sim *= scale[at_b].astype(np.float32)[None, :]
+        # |<x,y> - <x',y'>| <= |x - x'| |y| + |x'| |y - y'|
+        worst = (err[a][:, None] + (1 + err[a])[:, None] * err[at_b].max(initial=0.0) + ROUNDING).astype(np.float32)
+        x, y = np.nonzero(sim + worst >= least)
+        xs.append(a[x])
+        ys.append(at_b[y])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    x, y = x[x != y], y[x != y]
+    exact = np.concatenate([np.einsum("ij,ij->i", u[x[i : i + 65536]], u[y[i : i + 65536]]) for i in range(0, len(x), 65536)] or [np.empty(0)])
+    x, y, exact = x[exact >= least], y[exact >= least], exact[exact >= least]
+    if not np.array_equal(at_a, at_b):
+        x, y, exact = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([exact, exact])
+    order = np.lexsort((y, -exact, x))
+    x, y, exact = x[order], y[order], exact[order]
+    rank = np.arange(len(x)) - np.searchsorted(x, x)
+    return x[rank < k], y[rank < k], exact[rank < k]
 
 
-def _exact(dimension: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                _, x = _unit(b.column("va"), dimension)
-                _, y = _unit(b.column("vb"), dimension)
-                yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("a"), b.column("b"), pa.array(np.einsum("ij,ij->i", x, y))], ["grp", "a", "b", "sim"])
+def _tiles(k: int, least: float, dimension: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ti, tj = key[1].as_py(), key[2].as_py()
+        keys = t.column("key").to_numpy()
+        _, first = np.unique(keys, return_index=True)  # copies met by several tasks
+        keys = keys[first]
+        block = t.column("block").to_numpy()[first]
+        raw = np.frombuffer(b"".join(t.column("vec").take(pa.array(first)).to_pylist()), np.float32).reshape(-1, dimension).astype(np.float64)
+        raw /= np.abs(raw).max(axis=1, keepdims=True)
+        u = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+        x, y, sim = best_of_tile(u, np.flatnonzero(block == ti), np.flatnonzero(block == tj), k, least)
+        return pa.table({"a": pa.array(keys[x].tolist(), pa.binary()), "b": pa.array(keys[y].tolist(), pa.binary()), "sim": pa.array(sim, pa.float64())})
 
     return run
 
@@ -138,7 +132,7 @@ def cell_count(rows: int) -> int:
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, copies: int = 4, dimension: int = 64) -> DataFrame:
-    """``grp, id_a, id_b``: pairs of one ``grp`` with a similarity of at least ``least``, one among the ``k`` best of the other.
+    """``id_a, id_b``: pairs of one ``grp`` with a similarity of at least ``least``, one among the ``k`` best of the other.
 
     ``vectors``: ``grp string, id string, vec array<float>``, an id may be repeated with the same vector.
     """
@@ -148,43 +142,34 @@ def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, copies: in
     sample = vectors.where(F.size("vec") == dimension).orderBy(F.xxhash64("id"), "id").limit(2 * cells).select("vec").toArrow().column("vec").combine_chunks()
     good = sample.take(pa.array(_usable(sample, dimension)))[:cells] if len(sample) else sample
     if not len(good):
-        return spark.createDataFrame([], "grp string, id_a string, id_b string")
+        return spark.createDataFrame([], "id_a string, id_b string")
     pivots = _unit(good, dimension)[1].astype(np.float32)
-    schema = "grp string, id string, key binary, code binary, scale double, err double, cells array<int>"
-    coded = vectors.mapInArrow(_encode(pivots, copies, dimension), schema).persist()
-    # the first k + 1 ids of each group of copies; the limit is applied before the shuffle as well, so a hot group stays small
-    firsts = coded.withColumn("rk", F.dense_rank().over(Window.partitionBy("grp", "key").orderBy("id"))).where(F.col("rk") <= k + 1)
-    firsts = firsts.dropDuplicates(["grp", "key", "id"])
-    reps = firsts.where("rk = 1").select("grp", "id", "code", "scale", "err", F.explode("cells").alias("cell"))
-    sizes = reps.groupBy("grp", "cell").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    placed = reps.join(sizes, ["grp", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    coded = vectors.mapInArrow(_encode(pivots, copies, dimension), "grp string, id string, key binary, vec binary, cells array<int>").persist()
+    place = F.xxhash64("grp", "cell")
+    placed = coded.where("cells is not null").select("grp", "key", "vec", F.explode("cells").alias("cell")).select(place.alias("cell"), "key", "vec")
+    sizes = placed.groupBy("cell").count().where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+    sizes = sizes.persist()
+    if sizes.count() <= 100_000:  # only cells of several blocks, two numbers each
+        sizes = F.broadcast(sizes)
+    placed = placed.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = placed.select("grp", "cell", "id", "code", "scale", "err", "block", other)
-    tiles = tiles.withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other")).drop("other")
-    pairs = tiles.groupBy("grp", "cell", "ti", "tj").applyInArrow(_tiles(k, least, dimension), "grp string, a string, b string").distinct()
-    full = vectors.dropDuplicates(["grp", "id"])
-    va, vb = full.select("grp", F.col("id").alias("a"), F.col("vec").alias("va")), full.select("grp", F.col("id").alias("b"), F.col("vec").alias("vb"))
-    exact = pairs.join(va, ["grp", "a"]).join(vb, ["grp", "b"]).select("grp", "a", "b", "va", "vb")
-    exact = exact.mapInArrow(_exact(dimension), "grp string, a string, b string, sim double").where(F.col("sim") >= least)
-    both = exact.select("grp", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "sim").select("grp", "x.*", "sim")
-    best = both.withColumn("rn", F.row_number().over(Window.partitionBy("grp", "a").orderBy(F.desc("sim"), "b"))).where(F.col("rn") <= k)
-    # from vectors back to all their ids
-    light = firsts.select("grp", "key", "id", "rk")
-    rep_key = light.where("rk = 1").select("grp", "key", F.col("id").alias("rep"))
-    members = light.join(rep_key, ["grp", "key"]).select("grp", "rep", "id", "rk")
-    size = F.count("*").over(Window.partitionBy("grp", "rep"))
-    members = members.withColumn("n", size)
-    of_b = members.where(F.col("rk") <= k).select("grp", F.col("rep").alias("b"), F.col("id").alias("y"))
-    list_a = best.join(of_b, ["grp", "b"]).withColumn("rn", F.row_number().over(Window.partitionBy("grp", "a").orderBy(F.desc("sim"), "y")))
-    of_a = members.where(F.col("n") <= k).select("grp", F.col("rep").alias("a"), F.col("id").alias("x"), F.col("n").alias("n"))
-    across = list_a.where(F.col("rn") <= k).join(of_a, ["grp", "a"]).where(F.col("rn") <= k + 1 - F.col("n")).select("grp", "x", "y")
-    many = members.where("n > 1")
-    last = many.groupBy("grp", "rep").agg(F.max("id").alias("last")).join(rep_key, ["grp", "rep"])
-    every = coded.select("grp", "key", F.col("id").alias("x")).join(last.select("grp", "key", "rep", "last"), ["grp", "key"]).select("grp", "rep", "last", "x")
-    within = every.join(many.select("grp", "rep", F.col("id").alias("y"), "rk"), ["grp", "rep"])
-    within = within.where((F.col("x") != F.col("y")) & ((F.col("rk") <= k) | (F.col("x") <= F.col("last")))).select("grp", "x", "y")
-    out = across.unionByName(within).select("grp", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return out.distinct()
+    tiles = placed.select("cell", "key", "vec", "block", other).withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other"))
+    near = tiles.drop("other").groupBy("cell", "ti", "tj").applyInArrow(_tiles(k, least, dimension), "a binary, b binary, sim double").distinct()
+    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rn") <= k).drop("rn")
+    # from vectors to ids: the first k + 1 ids of each vector; the limit is applied before the shuffle too, so a hot group stays small
+    ids = coded.select("key", "id")
+    firsts = ids.withColumn("rk", F.dense_rank().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rk") <= k + 1).distinct()
+    firsts = cut(firsts.withColumn("n", F.count("*").over(Window.partitionBy("key"))))
+    of_b = firsts.where(F.col("rk") <= k).select(F.col("key").alias("b"), F.col("id").alias("y"))
+    reach = best.join(of_b, "b").withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "y"))).where(F.col("rn") <= k)
+    of_a = firsts.where(F.col("n") <= k).select(F.col("key").alias("a"), F.col("id").alias("x"), "n")
+    across = reach.join(of_a, "a").where(F.col("rn") <= k + 1 - F.col("n")).select("x", "y")
+    many = firsts.where("n > 1")
+    own = many.select("key", F.col("id").alias("y"), "rk").join(many.groupBy("key").agg(F.max("id").alias("last")), "key")
+    within = ids.select("key", F.col("id").alias("x")).join(own, "key").where((F.col("x") != F.col("y")) & ((F.col("rk") <= k) | (F.col("x") <= F.col("last"))))
+    out = across.unionByName(within.select("x", "y"))
+    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
