@@ -51,7 +51,7 @@ DATE_OPENINGS = ("od dnia", "z dniem", "w dniu", "do dnia", "przed dniem", "po d
 
 PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 CANDIDATE = re.compile(
-    rf"[.!?…。！？।؟｡]+(?:[”»“’\"\)\]」』）]+|[  ]»)*[.!?…]*(?=\s+[{UPPER}{UNCASED}\d§{OPENERS}–—•-]|[{UPPER}{UNCASED}„«\(])"
+    rf"[.!?…。！？।؟｡]+(?:[”»“’\"\)\]」』）]+|[\u00a0\u202f ]»)*[.!?…]*(?=\s+[{UPPER}{UNCASED}\d§{OPENERS}–—•-]|[{UPPER}{UNCASED}„«\(])"
 )
 THAI = re.compile(r"[ก-๛]")
 THAI_GAP = re.compile(r"(?<=[฀-๿\d])\s+(?=[฀-๿])")
