@@ -91,7 +91,7 @@ def remove_noise(c) -> Column:
 
 def strip_tags(c) -> Column:
     """Text of simple markup: tags and entities out, non-breaking blanks to blanks."""
-    return replace(c, (r"(?is)<(script|style)[^>]*>.*?</\1>", ""), (r"<[^>]+>", ""), (r"&nbsp;", " "), (r"&amp;", "&"), (r"&[a-zA-Z]+;|&#\d+;", ""), (" ", " "))
+    return replace(c, (r"(?is)<(script|style)[^>]*>.*?</\1>", ""), (r"<[^>]+>", ""), (r"&nbsp;", " "), (r"&amp;", "&"), (r"&[a-zA-Z]+;|&#\d+;", ""), (r"\u00A0", " "))
 
 
 def plain_characters(c) -> Column:
@@ -105,7 +105,7 @@ def join_numbers(c) -> Column:
 
 
 def one_space(c) -> Column:
-    return F.trim(replace(c, ("[  -​  ]", " "), (r"\s+", " ")))
+    return F.trim(replace(c, (r"[\u00A0\u2000-\u200B\u2028\u2029]", " "), (r"\s+", " ")))
 
 
 def without_diacritics(c) -> Column:

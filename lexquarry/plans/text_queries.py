@@ -259,6 +259,7 @@ ORACLES = {
     "unique_refs": f"WITH {CUR}, r AS (SELECT DISTINCT id, unnest(list_transform(regexp_extract_all(lower(content), 'art\\.\\s*\\d+[a-z]?|§\\s*\\d+|ust\\.\\s*\\d+|pkt\\s*\\d+'), lambda x: regexp_replace(x, '\\s+', ' ', 'g'))) AS reference FROM cur) SELECT id, reference FROM r",
     "text_chars": ONE("replace(translate(content, '“”‘’–—', '\"\"''''--'), '…', '...')"),
     "text_numbers": ONE(RX("content", (r"\b(\d+)\s*[-–—]\s*(\d+)\b", r"\1-\2"), (r"\b(\d{1,2})\s*\.\s*(\d{1,2})\s*\.\s*(\d{4})\b", r"\1.\2.\3"))),
+    "text_whitespace": ONE("trim(regexp_replace(regexp_replace(content, '[\\x{00A0}\\x{2000}-\\x{200B}\\x{2028}\\x{2029}]', ' ', 'g'), '\\s+', ' ', 'g'))"),
     "text_diacritics": ONE(f"translate(content, '{T.POLISH}', '{T.PLAIN}')"),
     "act_ids": "WITH t AS (SELECT eli_id, trim(eli_id) AS t FROM act_registry) SELECT eli_id, regexp_matches(t, '^(?:pl|PL)/|^[A-Z]{1,3}/\\d{4}/\\d+') AND length(t) >= 5 AND NOT regexp_matches(t, '[<>\"&\\t\\n]') AS valid, CASE WHEN regexp_matches(t, '^[A-Za-z]{2}/') THEN lower(substring(t, 1, 2)) || substring(regexp_replace(regexp_replace(t, '/+', '/', 'g'), '/+$', ''), 3) ELSE regexp_replace(regexp_replace(t, '/+', '/', 'g'), '/+$', '') END AS formatted FROM t",
 }
