@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def as_vector(v: Column | str | Sequence[float]) -> Column:
     """A column, or literal numbers, as ``array<double>``."""
@@ -33,7 +31,7 @@ def norm(a) -> Column:
 def cosine(a, b) -> Column:
     """Cosine similarity; 0 if either vector is zero; kept within [-1, 1]."""
     n = norm(a) * norm(b)
-    return F.when(n == 0, ZERO).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n)))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n)))
 
 
 def l2(a, b) -> Column:
@@ -56,7 +54,7 @@ def manhattan_similarity(a, b) -> Column:
 
 def root_euclidean_similarity(a, b) -> Column:
     """exp(-d / sqrt(dimension)) within [0, 1]: the kernel of the outcome predictor."""
-    return F.greatest(ZERO, F.least(F.lit(1.0), F.exp(-l2(a, b) / F.sqrt(F.size(as_vector(a)).cast("double")))))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-l2(a, b) / F.sqrt(F.size(as_vector(a)).cast("double")))))
 
 
 def section_weights(n: int) -> list[float]:

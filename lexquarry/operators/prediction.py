@@ -23,7 +23,7 @@ def from_neighbours(neighbours: DataFrame, asked: DataFrame, key: str = "query")
     d = neighbours.groupBy(key).agg((F.sum(F.col("similarity") * F.col("y")) / F.sum("similarity")).alias("p"), F.avg("similarity").alias("mean_s"), F.var_pop("y").alias("v"), F.count("*").alias("n"))
     d = asked.select(key).distinct().join(d, key, "left")
     c = F.greatest(F.lit(0.1), 0.8 * F.col("mean_s") - F.least(F.lit(0.3), F.col("v")))
-    return d.select(key, F.coalesce("p", F.lit(0.5)).alias("prediction"), F.coalesce(c, F.lit(0.3)).alias("confidence"), F.coalesce("n", F.lit(0)).alias("neighbours"))
+    return d.select(key, F.coalesce("p", F.lit(0.5)).alias("prediction"), F.when(F.col("mean_s").isNull(), 0.3).otherwise(c).alias("confidence"), F.coalesce("n", F.lit(0)).alias("neighbours"))
 
 
 def hybrid(a: DataFrame, b: DataFrame, key: str = "query", share: float = 0.7) -> DataFrame:

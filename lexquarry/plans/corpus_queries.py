@@ -23,12 +23,15 @@ def query(sql: str | None = None):
     return add
 
 
-TYPE = F.lower(F.trim("document_type"))
 XREF = "(SELECT DISTINCT id, source_document_id, target_document_id, lower(trim(reference_type)) AS reference_type, similarity_score, created_at FROM cross_references)"
 EMB = "(SELECT DISTINCT id, document_id, model_name, model_version, token_count, chunk_size, confidence_score, created_at FROM document_embeddings)"
 AMD = "(SELECT DISTINCT * FROM amendments)"
 
 
+def kind():
+    return F.lower(F.trim("document_type"))
+
+
 def refs(spark, sf):
     d = table(spark, sf, "cross_references")
     return d.select("id", "source_document_id", "target_document_id", F.lower(F.trim("reference_type")).alias("reference_type"), "similarity_score", "created_at").distinct()
@@ -36,7 +39,7 @@ def refs(spark, sf):
 
 @query(f"WITH {CUR} SELECT id, title FROM cur WHERE lower(trim(document_type)) = 'kodeks'")
 def docs_by_type(spark, sf):
-    return current(spark, sf, "id", "title", "document_type").where(TYPE == "kodeks").select("id", "title")
+    return current(spark, sf, "id", "title", "document_type").where(kind() == "kodeks").select("id", "title")
 
 
 @query(f"WITH {CUR} SELECT id, title, eli_identifier FROM cur WHERE id = (SELECT min(id) FROM legal_documents)")
@@ -67,7 +70,7 @@ def search_substring(spark, sf):
     """A page of a substring search: pages are the feature here."""
     d = current(spark, sf, "id", "title", "content", "document_type")
     hit = F.contains(F.lower("title"), F.lit("opłat")) | F.contains(F.lower("content"), F.lit("opłaty z tytułu"))
-    return d.where(hit & (TYPE == "ustawa")).select("id", "title").orderBy("id").offset(10).limit(50)
+    return d.where(hit & (kind() == "ustawa")).select("id", "title").orderBy("id").offset(10).limit(50)
 
 
 @query(f"WITH {CUR} SELECT count(*) AS total, count(*) > 60 AS has_more, 60 AS next_offset FROM cur WHERE contains(lower(title), 'opłat')")
@@ -166,13 +169,13 @@ def edge_chains(spark, sf):
 @query(f"WITH {CUR} SELECT lower(trim(document_type)) AS document_type, count(*) AS n, count(embedding) AS with_vector, count(*) FILTER (WHERE is_amendment) AS amending, count(*) FILTER (WHERE affects_multiple_acts) AS several FROM cur GROUP BY 1")
 def corpus_stats(spark, sf):
     d = current(spark, sf, "id", "document_type", "embedding", "is_amendment", "affects_multiple_acts")
-    return d.groupBy(TYPE.alias("document_type")).agg(F.count("*").alias("n"), F.count("embedding").alias("with_vector"), F.count_if("is_amendment").alias("amending"), F.count_if("affects_multiple_acts").alias("several"))
+    return d.groupBy(kind().alias("document_type")).agg(F.count("*").alias("n"), F.count("embedding").alias("with_vector"), F.count_if("is_amendment").alias("amending"), F.count_if("affects_multiple_acts").alias("several"))
 
 
 @query(f"WITH {CUR} SELECT lower(trim(document_type)) AS document_type, strftime(published_at, '%Y-%m') AS month, count(*) AS n FROM cur WHERE published_at IS NOT NULL GROUP BY 1, 2")
 def type_bucket_counts(spark, sf):
     d = current(spark, sf, "id", "document_type", "published_at").where("published_at is not null")
-    return d.groupBy(TYPE.alias("document_type"), F.date_format("published_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return d.groupBy(kind().alias("document_type"), F.date_format("published_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT document_id, id, model_name FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id) AS rn FROM {EMB} e) x WHERE rn = 1")
@@ -202,7 +205,7 @@ def upsert_scores(spark, sf):
 @query(f"WITH {CUR}, g AS (SELECT id FROM cur WHERE lower(trim(document_type)) = 'umowa') SELECT 'parent' AS kind, count(*) AS n FROM cur WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'child', count(*) FROM {AMD} a WHERE document_id NOT IN (SELECT id FROM g)")
 def delete_cascade(spark, sf):
     docs = current(spark, sf, "id", "document_type")
-    p, c = store.delete_cascade(docs, table(spark, sf, "amendments").distinct(), docs.where(TYPE == "umowa"), "id", "document_id")
+    p, c = store.delete_cascade(docs, table(spark, sf, "amendments").distinct(), docs.where(kind() == "umowa"), "id", "document_id")
     return p.agg(F.count("*").alias("n")).select(F.lit("parent").alias("kind"), "n").unionByName(c.agg(F.count("*").alias("n")).select(F.lit("child").alias("kind"), "n"))
 
 
