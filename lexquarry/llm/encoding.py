@@ -65,9 +65,6 @@ def _table(encoding: str) -> dict[str, int]:
             found[bytes([b]).decode(encoding)] = b
         except UnicodeDecodeError:
             found.setdefault(chr(b), b)
-    if encoding in ("cp1252", "cp1250", "cp1254", "cp1257"):
-        for b in range(128, 160):
-            found.setdefault(chr(b), b)
     return found
 
 

@@ -187,7 +187,14 @@ def _pack(key: tuple, t: pa.Table) -> pa.Table:
     capacity = key[1].as_py()
     sizes = t.column("tokens").to_pylist()
     where, fill = [0] * len(sizes), [0] * len(sizes)
-    for k, b in enumerate(complete(sizes, capacity)):
+    bins = complete(sizes, capacity)
+    if "old" in t.schema.names:  # emptied containers: what they held stays together unless fewer are needed now
+        old: dict[str, list[int]] = {}
+        for i, o in enumerate(t.column("old").to_pylist()):
+            old.setdefault(o, []).append(i)
+        if len(old) <= len(bins):
+            bins = list(old.values())
+    for k, b in enumerate(bins):
         full = sum(sizes[i] for i in b)
         for i in b:
             where[i], fill[i] = k, full
@@ -216,7 +223,8 @@ def pack(sized: DataFrame, capacities: DataFrame, good: float = 0.985) -> DataFr
     kept = packed.where(F.col("fill") >= good * F.col("capacity_tokens"))
     again = packed.where(F.col("fill") < good * F.col("capacity_tokens"))
     share = max(1, blocks // 16)
-    again = again.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(share)).cast("int")).select(*keys, "doc_id", "part", "tokens")
+    again = again.withColumn("old", F.concat_ws("-", "block", "bin")).withColumn("block", F.pmod(F.xxhash64("block"), F.lit(share)).cast("int"))
+    again = again.select(*keys, "doc_id", "part", "tokens", "old")
     again = again.groupBy(*keys).applyInArrow(_pack, schema)
     name = lambda r: F.concat_ws("-", F.lit(r), "block", "bin").alias("container")
     cols = ["doc_id", "part", "tokens", "fill"]

@@ -266,10 +266,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(df: DataFrame, column: str, key: str) -> DataFrame:
     """``key, n, sentence``: the sentences themselves, in order, without the white space between them."""
-    d = df.select(F.col(key), F.col(column).alias("__text"))
-    s = with_sentence_starts(d, "__text", key, "__text").where(F.size("starts") > 0)
+    d = df.select(F.col(key), F.col(column).alias("whole"))
+    s = with_sentence_starts(d, "whole", key, "whole").where(F.size("starts") > 0)
     piece = F.expr(
-        "transform(starts, (s, i) -> regexp_replace(substring(__text, s + 1, coalesce(try_element_at(starts, i + 2), length(__text)) - s), '\\\\s+$', ''))"
+        "transform(starts, (s, i) -> regexp_replace(substring(whole, s + 1, coalesce(try_element_at(starts, i + 2), length(whole)) - s), '\\\\s+$', ''))"
     )
     return s.select(key, F.posexplode(piece).alias("n", "sentence"))
 

@@ -1,7 +1,7 @@
 """Problem 3: splitting oversized texts at natural boundaries, with an overlap between consecutive pieces.
 
-Every place where a piece may end is a boundary: the end of a paragraph, of a sentence, of a word, and, inside runs without a
-blank that are longer than a piece may be, every sign. Each boundary is joined to its successor: the farthest paragraph end a
+Every place where a piece may end is a boundary: the end of a paragraph, of a sentence, of a word, and, inside runs of signs or
+of blanks longer than a quarter of the limit, every sign. Each boundary is joined to its successor: the farthest paragraph end a
 piece that starts ``overlap`` before it can reach, if that fills half the limit, else the farthest such sentence end, else the
 farthest word end, else the limit itself. Squaring the successor table (pointer doubling) then yields all greedy cuts of all
 texts of a batch at once: after k squarings every text has its first 2**k cuts.
@@ -37,9 +37,9 @@ def boundaries(text: str, limit: int) -> list[np.ndarray]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = np.isin(codes, BLANKS)
     word = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    edges = np.concatenate([[-1], np.flatnonzero(blank), [n]])
-    wide = np.flatnonzero(np.diff(edges) - 1 > limit // 4)
-    runs = [np.arange(edges[k] + 2, edges[k + 1] + 1) for k in wide]
+    # runs of signs or of blanks that may not fit are cut anywhere
+    edges = np.concatenate([[0], np.flatnonzero(blank[1:] != blank[:-1]) + 1, [n]])
+    runs = [np.arange(edges[k] + 1, edges[k + 1] + 1) for k in np.flatnonzero(np.diff(edges) > limit // 4)]
     sign = np.concatenate(runs) if runs else np.empty(0, np.int64)
     return [sign[sign < n], word, np.array(ends, np.int64), paragraph]
 
@@ -59,11 +59,9 @@ def successors(levels: list[np.ndarray], n: int, limit: int, overlap: int) -> tu
         least = np.maximum(nodes, start + limit // 2) if level else nodes
         take = (out < 0) & (to > least)
         out[take], kind[take] = to[take], level
-    # a gap of white space wider than the limit: cut in it
+    # no boundary of any kind within reach, as in a few words of just the wrong lengths: the next one on that is still within it
     none = out < 0
     out[none] = nodes[np.searchsorted(nodes, reach[none], side="right") - 1]
-    stuck = out <= nodes
-    out[stuck] = nodes[np.minimum(np.searchsorted(nodes, nodes[stuck], side="right"), len(nodes) - 1)]
     last = n <= reach
     out[last], kind[last] = n, 4
     return nodes, np.searchsorted(nodes, out), kind
