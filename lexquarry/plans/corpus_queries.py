@@ -189,7 +189,7 @@ def embedding_versions(spark, sf):
     return d.groupBy("document_id").agg(F.count("*").alias("versions"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
 
 
-@query(f"SELECT model_name, model_version, count(*) AS jobs, round(avg(token_count), 6) AS mean_tokens, sum(token_count) AS tokens, round(avg(confidence_score), 6) AS confidence FROM {EMB} e GROUP BY 1, 2")
+@query(f"SELECT model_name, model_version, count(*) AS jobs, round(avg(token_count), 6) AS mean_tokens, CAST(sum(token_count) AS BIGINT) AS tokens, round(avg(confidence_score), 6) AS confidence FROM {EMB} e GROUP BY 1, 2")
 def job_stats(spark, sf):
     d = once(spark, sf, "document_embeddings", "id", "model_name", "model_version", "token_count", "confidence_score")
     return d.groupBy("model_name", "model_version").agg(F.count("*").alias("jobs"), F.round(F.avg("token_count"), 6).alias("mean_tokens"), F.sum("token_count").alias("tokens"), F.round(F.avg("confidence_score"), 6).alias("confidence"))

@@ -139,7 +139,7 @@ _SHAPES = " UNION ALL ".join(
 )
 
 
-@query(f"WITH {CUR}, q AS (SELECT a.id AS amendment_id, lower(c.content) AS f, lower(a.amendment_text) AS p FROM (SELECT DISTINCT id, document_id, amendment_text FROM amendments WHERE amendment_text IS NOT NULL) a JOIN cur c ON c.id = a.document_id), s AS ({_SHAPES}) SELECT amendment_id, pattern, formal_hits, plain_hits, round(least(0.9, formal_hits * plain_hits * 0.1), 6) AS similarity, confidence FROM s WHERE formal_hits > 0 AND plain_hits > 0")
+@query(f"WITH {CUR}, q AS (SELECT a.id AS amendment_id, lower(c.content) AS f, lower(a.amendment_text) AS p FROM (SELECT DISTINCT id, document_id, amendment_text FROM amendments WHERE amendment_text IS NOT NULL) a JOIN cur c ON c.id = a.document_id), s AS ({_SHAPES}) SELECT amendment_id, pattern, formal_hits, plain_hits, round(CAST(least(0.9, formal_hits * plain_hits * 0.1) AS DOUBLE), 6) AS similarity, CAST(confidence AS DOUBLE) AS confidence FROM s WHERE formal_hits > 0 AND plain_hits > 0")
 def register_structural(spark, sf):
     d = L.register_shapes(_pairs(spark, sf), "formal", "plain")
     return d.withColumn("similarity", F.round("similarity", 6))

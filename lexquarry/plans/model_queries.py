@@ -37,7 +37,7 @@ def bag_weights(spark, sf):
     return E.token_weights(current(spark, sf, "id", "title"), "id", "title").withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {TOKENS} SELECT id, count(*) AS vocabulary, sum(n) AS tokens, round(max(weight), 6) AS heaviest FROM x GROUP BY 1")
+@query(f"WITH {TOKENS} SELECT id, count(*) AS vocabulary, CAST(sum(n) AS BIGINT) AS tokens, round(max(weight), 6) AS heaviest FROM x GROUP BY 1")
 def bag_tokens(spark, sf):
     w = E.token_weights(current(spark, sf, "id", "title"), "id", "title")
     return w.groupBy("id").agg(F.count("*").alias("vocabulary"), F.sum("n").alias("tokens"), F.round(F.max("weight"), 6).alias("heaviest"))
@@ -127,7 +127,7 @@ def knn_temporal(spark, sf):
     return d.groupBy("query").agg(F.count("*").alias("n"), F.round(F.sum(F.col("similarity") * F.col("y") * (1 + F.col("b"))) / F.sum(F.col("similarity") * (1 + F.col("b"))), 5).alias("prediction"))
 
 
-@query(f"WITH {CUR} SELECT id, CAST(length(content) AS DOUBLE) AS length, CAST(length(content) - length(regexp_replace(content, '[.!?]', '', 'g')) AS DOUBLE) AS stops, round((length(content) - length(regexp_replace(content, '[0-9]', '', 'g'))) / CAST(greatest(length(content), 1) AS DOUBLE), 6) AS digit_ratio, CASE WHEN regexp_matches(lower(content), '§\\s*\\d+') THEN 1.0 ELSE 0.0 END AS has_paragraphs FROM cur")
+@query(f"WITH {CUR} SELECT id, CAST(length(content) AS DOUBLE) AS length, CAST(length(content) - length(regexp_replace(content, '[.!?]', '', 'g')) AS DOUBLE) AS stops, round((length(content) - length(regexp_replace(content, '[0-9]', '', 'g'))) / CAST(greatest(length(content), 1) AS DOUBLE), 6) AS digit_ratio, CASE WHEN regexp_matches(lower(content), '§\\s*\\d+') THEN 1.0e0 ELSE 0.0e0 END AS has_paragraphs FROM cur")
 def features_text(spark, sf):
     f = P.text_features("content")
     return current(spark, sf, "id", "content").select("id", f["length"].alias("length"), f["stops"].alias("stops"), F.round(f["digit_ratio"], 6).alias("digit_ratio"), f["has_paragraphs"].alias("has_paragraphs"))
@@ -152,7 +152,7 @@ def vote_hard(spark, sf):
     return P.hard_vote(_votes(spark, sf), "id").select("id", "prediction")
 
 
-@query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(p - 0.5) DESC, model) AS rn FROM v) SELECT id, model, p FROM r WHERE rn = 1")
+@query(f"WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(p - 0.5) DESC, model) AS rn FROM v) SELECT id, model, CAST(p AS DOUBLE) AS p FROM r WHERE rn = 1")
 def best_voter(spark, sf):
     return P.best_voter(_votes(spark, sf), "id")
 

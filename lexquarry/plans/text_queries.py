@@ -248,8 +248,8 @@ ORACLES = {
     "dedup_exact": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY sha256(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g'))",
     "html_usable": f"WITH {CUR} SELECT id, coalesce(length(trim(content)) >= 100 AND NOT {LIKE('lower(trim(content))', BAD)}, false) AS html_ok, coalesce({READ('pdf_extracted_text')}, false) AS page_ok FROM cur",
     "quality_basic": f"WITH {CUR} SELECT id, round({BASIC('content', 2000)}, 6) AS quality FROM cur",
-    "quality_enhanced": f"WITH {CUR} SELECT id, round({LEN}, 6) AS length_score, round({LANG}, 6) AS language_score, round({STRUCT}, 6) AS structure_score, round({ENH}, 6) AS quality FROM cur",
-    "document_quality": f"WITH {CUR} SELECT id, round({DQ}, 6) AS quality FROM cur",
+    "quality_enhanced": f"WITH {CUR} SELECT id, round(CAST({LEN} AS DOUBLE), 6) AS length_score, round({LANG}, 6) AS language_score, round(CAST({STRUCT} AS DOUBLE), 6) AS structure_score, round({ENH}, 6) AS quality FROM cur",
+    "document_quality": f"WITH {CUR} SELECT id, round(CAST({DQ} AS DOUBLE), 6) AS quality FROM cur",
     "dual_source_pick": f"WITH {CUR}, s AS (SELECT id, {BASIC('content', 2000)} AS html, coalesce({BASIC('pdf_extracted_text', 1000)}, 0.0) AS page FROM cur) SELECT id, round(html, 6) AS html, round(page, 6) AS page, CASE WHEN html >= page AND html > 0 THEN 'html' WHEN page > 0 THEN 'pdf' END AS picked FROM s",
     "page_text_quality": f"WITH {CUR} SELECT id, length(pdf_extracted_text) AS chars, {WS.format('pdf_extracted_text')} AS words, len(string_split(pdf_extracted_text, chr(10))) AS lines, regexp_matches(pdf_extracted_text, '[ąćęłńóśźż]') AS polish, round(least(1.0, length(pdf_extracted_text) / 1000.0), 6) AS quality, length(trim(pdf_extracted_text)) >= 50 AS acceptable FROM cur WHERE pdf_extracted_text IS NOT NULL",
     "polish_ratio": f"WITH {CUR} SELECT id, round({RATIO}, 6) AS ratio FROM cur",

@@ -266,6 +266,6 @@ ORACLES = {
     "rank_temporal": f"WITH {RANKED} SELECT id, round(similarity * 0.8 + temporal * 0.2, 6) AS score FROM t",
     "rank_type": f"WITH {RANKED} SELECT id, round(similarity * w_type, 6) AS score FROM t",
     "rank_domain": f"WITH {RANKED} SELECT id, round(similarity * w_domain, 6) AS score FROM t",
-    "rank_composite": f"WITH {RANKED} SELECT id, round(temporal, 6) AS temporal, w_type, w_domain, w_amendment, round(composite, 6) AS composite FROM c",
+    "rank_composite": f"WITH {RANKED} SELECT id, round(temporal, 6) AS temporal, CAST(w_type AS DOUBLE) AS w_type, CAST(w_domain AS DOUBLE) AS w_domain, CAST(w_amendment AS DOUBLE) AS w_amendment, round(composite, 6) AS composite FROM c",
     "search_ranked": f"WITH {RANKED}, k AS (SELECT * FROM c WHERE similarity >= 0.1 ORDER BY round(similarity, 9) DESC, id LIMIT 80) SELECT id, document_type, round(similarity, 6) AS similarity, round(composite, 6) AS composite FROM k ORDER BY round(composite, 9) DESC, id LIMIT 20",
 }
