@@ -189,29 +189,41 @@ def changes(df: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, "n", "type", F.when(second.isNotNull(), F.col("groups")[0]).alias("original"), F.coalesce(second, F.col("groups")[0]).alias("amended"))
 
 
+def _hits(low: Column, terms: list[str]) -> Column:
+    """Occurrences of all terms together. A loop over an array keeps the generated code small, whatever the lexicon."""
+    one = lambda t: F.floor((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int")
+    return F.aggregate(F.array(*[F.lit(t) for t in terms]), F.lit(0), lambda acc, t: acc + one(t))
+
+
+def _present(low: Column, terms: list[str]) -> Column:
+    """How many of the terms occur at all."""
+    return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))) if terms else F.lit(0)
+
+
+def _together(low: Column, terms: list[str]) -> Column:
+    """How many terms of several words have all their words in the text."""
+    several = [t for t in terms if " " in t]
+    if not several:
+        return F.lit(0)
+    words = F.array(*[F.array(*[F.lit(w) for w in t.split()]) for t in several])
+    return F.size(F.filter(words, lambda ws: F.forall(ws, lambda w: F.contains(low, w))))
+
+
 def field_scores(df: DataFrame, key: str, text: str) -> DataFrame:
     """Score of each field of law in a text; fields without a hit are left out."""
-    low = F.lower(text)
-    parts = []
-    for name, (terms, contexts) in FIELDS.items():
-        s = sum((T.count_of(low, t) for t in terms), F.lit(0.0))
-        for t in terms:
-            if " " in t:
-                all_words = F.lit(True)
-                for w in t.split():
-                    all_words = all_words & F.contains(low, F.lit(w))
-                s = s + F.when(all_words, 0.5).otherwise(0.0)
-        s = s + 2.0 * T.number_of(low, contexts)
-        parts.append(F.struct(F.lit(name).alias("field"), (s / F.greatest(F.lit(1.0), T.word_count(text) / 1000)).alias("score")))
-    return df.select(key, F.explode(F.array(*parts)).alias("x")).select(key, "x.field", "x.score").where("score > 0")
+    d = df.select(key, F.lower(text).alias("low"), F.greatest(F.lit(1.0), T.word_count(text) / 1000).alias("scale"))
+    low = F.col("low")
+    score = lambda terms, contexts: _hits(low, terms) + 0.5 * _together(low, terms) + 2.0 * _present(low, contexts)
+    parts = [F.struct(F.lit(name).alias("field"), (score(*lexicon) / F.col("scale")).alias("score")) for name, lexicon in FIELDS.items()]
+    return d.select(key, F.explode(F.array(*parts)).alias("x")).select(key, "x.field", "x.score").where("score > 0")
 
 
 def concept_density(df: DataFrame, key: str, text: str) -> DataFrame:
-    low, terms = F.lower(text), sorted({t for ts, _ in FIELDS.values() for t in ts})
-    hits = sum((T.count_of(low, t) for t in terms), F.lit(0))
-    n = T.word_count(text)
-    d = df.select(key, n.alias("words"), hits.cast("int").alias("hits"), T.number_of(low, terms).alias("distinct_hits"))
-    return d.withColumn("density", F.when(F.col("words") == 0, 0.0).otherwise(F.col("hits") / F.col("words"))).withColumn("unique_ratio", F.when(F.col("words") == 0, 0.0).otherwise(F.col("distinct_hits") / F.col("words")))
+    terms = sorted({t for ts, _ in FIELDS.values() for t in ts})
+    d = df.select(key, F.lower(text).alias("low"), T.word_count(text).alias("words"))
+    d = d.select(key, "words", _hits(F.col("low"), terms).alias("hits"), _present(F.col("low"), terms).alias("distinct_hits"))
+    share = lambda c: F.when(F.col("words") == 0, 0.0).otherwise(F.col(c) / F.col("words"))
+    return d.withColumn("density", share("hits")).withColumn("unique_ratio", share("distinct_hits"))
 
 
 def definitions(df: DataFrame, key: str, text: str) -> DataFrame:
