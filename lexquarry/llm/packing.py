@@ -211,8 +211,11 @@ def pack(sized: DataFrame, capacities: DataFrame, good: float = 0.985) -> DataFr
     kind = dict(sized.dtypes)["doc_id"]
     sized = cut(sized.where("tokens is not null"))
     blocks = max(1, -(-sized.count() // BLOCK))
-    caps = F.broadcast(capacities.where("capacity_tokens > 0").select("capacity_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).distinct())
-    items = sized.crossJoin(caps)  # three capacities; no pairs of rows
+    caps = [(r.capacity_name, r.capacity_tokens) for r in capacities.where("capacity_tokens > 0").select("capacity_name", "capacity_tokens").distinct().collect()]  # the fixed table
+    if not caps:
+        return sized.selectExpr("'' as capacity_name", "'' as container", "doc_id", "0 as part", "tokens", "tokens as fill").where("false")
+    each = F.array(*[F.struct(F.lit(n).alias("capacity_name"), F.lit(t).cast("bigint").alias("capacity_tokens")) for n, t in caps])
+    items = sized.select("doc_id", "tokens", F.explode(each).alias("c")).select("doc_id", "tokens", "c.*")
     parts = F.expr("transform(sequence(0, cast(greatest(ceil(tokens / capacity_tokens), 1) - 1 as int)), p -> named_struct('part', p, 'tokens', least(capacity_tokens, tokens - p * capacity_tokens)))")
     items = items.select("capacity_name", "capacity_tokens", "doc_id", F.explode(parts).alias("p")).select("capacity_name", "capacity_tokens", "doc_id", "p.part", F.col("p.tokens").cast("bigint").alias("tokens"))
     whole = items.where("tokens = capacity_tokens").select("capacity_name", F.concat_ws("-", F.lit("w"), "doc_id", "part").alias("container"), "doc_id", "part", "tokens", F.col("tokens").alias("fill"))
