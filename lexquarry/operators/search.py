@@ -79,15 +79,21 @@ def batch_top_k(queries: DataFrame, df: DataFrame, k: int, *, key: str, vector:
 
     The query vectors are sent to all tasks in blocks of ``QUERY_BLOCK`` rows; every task keeps its best for each query.
     """
-    rows = queries.where(F.col(vector).isNotNull()).select(key, vector).toArrow()
-    ids = rows.column(key).to_numpy()
-    m = rows.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-    length = np.sqrt((m * m).sum(axis=1))
-    unit = np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0)
+    asked = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     kind = dict(df.dtypes)[key]
     data = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
     schema = f"query {kind}, key {kind}, similarity double"
-    parts = [data.mapInArrow(_block_best(ids[i : i + QUERY_BLOCK], unit[i : i + QUERY_BLOCK], k), schema) for i in range(0, max(1, len(ids)), QUERY_BLOCK)]
+    parts = []
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).toArrow()
+        if not rows.num_rows and parts:
+            continue
+        ids = rows.column(key).to_numpy()
+        m = rows.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
+        length = np.sqrt((m * m).sum(axis=1))
+        unit = np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0)
+        parts.append(data.mapInArrow(_block_best(ids, unit, k), schema) if len(ids) else data.select(F.col("k").alias("query"), F.col("k").alias("key"), F.lit(0.0).alias("similarity")).where("false"))
     found = reduce(DataFrame.unionAll, parts)
     if not itself:
         found = found.where("query <> key")

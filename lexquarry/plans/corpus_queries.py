@@ -144,11 +144,8 @@ def edge_hubs(spark, sf):
 
 @query(f"WITH e AS (SELECT source_document_id AS a FROM {XREF} x UNION ALL SELECT target_document_id FROM {XREF} y), v AS (SELECT count(DISTINCT a) AS nodes FROM e), n AS (SELECT count(*) AS edges FROM {XREF} z) SELECT nodes, edges, round(edges / CAST(greatest(1, nodes * nodes) AS DOUBLE), 9) AS density FROM v, n")
 def edge_network(spark, sf):
-    e = refs(spark, sf)
-    ends = e.select(F.col("source_document_id").alias("a")).unionByName(e.select(F.col("target_document_id").alias("a")))
-    nodes = ends.agg(F.count_distinct("a").alias("nodes"))
-    edges = e.agg(F.count("*").alias("edges"))
-    both = nodes.join(F.broadcast(edges))  # one row each
+    ends = refs(spark, sf).select(F.explode(F.array("source_document_id", "target_document_id")).alias("a"))
+    both = ends.agg(F.count_distinct("a").alias("nodes"), F.floor(F.count("*") / 2).alias("edges"))
     return both.select("nodes", "edges", F.round(F.col("edges") / F.greatest(F.lit(1), F.col("nodes") * F.col("nodes")), 9).alias("density"))
 
 
@@ -232,6 +229,7 @@ def first_occurrence(spark, sf):
 
 @query("SELECT l_shipdate AS day, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1")
 def batch_slices(spark, sf):
+    """Rows in slices by day."""
     return table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").alias("day")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 

@@ -35,6 +35,12 @@ def queue_order(spark, sf):
     return K.queue_order(_jobs(spark, sf), "priority", "ts", "event_id", "user_id").select("event_id", "place")
 
 
+@query(f"SELECT event_id, row_number() OVER (ORDER BY {RANK}, ts, event_id) AS place FROM events")
+def queue_all(spark, sf):
+    """One queue for all users."""
+    return K.queue_order(_jobs(spark, sf), "priority", "ts", "event_id").select("event_id", "place")
+
+
 @query(f"SELECT {PRIO} AS priority, count(*) AS depth, count(DISTINCT user_id) AS owners FROM events GROUP BY 1")
 def queue_stats(spark, sf):
     return _jobs(spark, sf).groupBy("priority").agg(F.count("*").alias("depth"), F.count_distinct("user_id").alias("owners"))

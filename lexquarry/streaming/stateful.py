@@ -20,8 +20,15 @@ def queue_order(jobs: DataFrame, priority: str, enqueued: str, tie: str, key: st
     p = F.lit(len(PRIORITY))
     for name, n in PRIORITY.items():
         p = F.when(F.col(priority) == name, F.lit(n)).otherwise(p)
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(p, enqueued, tie)
-    return jobs.withColumn("place", F.row_number().over(w))
+    d = jobs.withColumn("__p", p)
+    if key:
+        return d.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("__p", enqueued, tie))).drop("__p")
+    # one queue for all: the rank within an hour of a priority, after all that the earlier hours and priorities hold
+    d = d.withColumn("__h", F.date_trunc("hour", enqueued))
+    sizes = d.groupBy("__p", "__h").agg(F.count("*").alias("__c"))
+    before = sizes.withColumn("__b", F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__p", "__h")) - F.col("__c")).drop("__c")
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__p", "__h").orderBy(enqueued, tie)))
+    return d.join(before, ["__p", "__h"]).withColumn("place", F.col("__b") + F.col("__r")).select(*jobs.columns, "place")
 
 
 def job_state(events: DataFrame, job: str, status: str, ts: str, tie: str) -> DataFrame:
