@@ -9,7 +9,8 @@ pair is chosen for the whole text by the summed drop of the cost of its distinct
 a word counts control signs, signs between letters, letters of no expected alphabet, capitals after small letters, runs of
 accented letters and letters of two alphabets in one word.
 
-Defined results: null and empty text is sound. U+FFFD marks text whose letters are lost: it is reported and left as it is.
+Defined results: null and empty text is sound. U+FFFD, or several question marks
+inside words, mark text whose letters are lost: it is reported and left as it is.
 Correct foreign words, units and signs are no case, since no round trip lowers their cost enough.
 """
 
@@ -192,8 +193,20 @@ def _swap(old: str, new: str) -> bool:
     return bool(PL_ONLY.search(new) or CYR.search(new)) and not PL_ONLY.search(old)
 
 
+#: A question mark within a word, left where an encoding had no place for a letter. One may be a missing blank, several are not.
+QUESTION = re.compile(r"\?(?<=[^\W\d_]\?)[a-zß-öø-ÿąćęłńóśźżěřšťůďňžčа-яіїєґ]")
+
+
+def questioned(text: str) -> bool:
+    return "?" in text and len(QUESTION.findall(text)) >= 3
+
+
 def is_garbled(text: str | None) -> bool:
-    if not text or not SUSPECT_RE.search(text):
+    if not text:
+        return False
+    if questioned(text):
+        return True
+    if not SUSPECT_RE.search(text):
         return False
     return "�" in text or CONTROL.search(text) is not None or bool(repair(text)[2])
 
@@ -209,11 +222,12 @@ def _mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out, at = [], []
         for k, t in enumerate(b.column("text").to_pylist()):
-            if not SUSPECT_RE.search(t):
+            gone = questioned(t)
+            if not gone and not SUSPECT_RE.search(t):
                 continue
             new, _, made = repair(t)
             at.append(k)
-            out.append({"restored": new, "steps": made, "lost": "�" in new or CONTROL.search(new) is not None})
+            out.append({"restored": new, "steps": made, "lost": gone or "�" in new or CONTROL.search(new) is not None})
         i = pa.array(at, pa.int32())
         yield pa.RecordBatch.from_arrays([b.column("id").take(i), b.column("field").take(i), pa.array(out, pa.struct([("restored", pa.string()), ("steps", pa.list_(pa.string())), ("lost", pa.bool_())]))], ["id", "field", "r"])
 

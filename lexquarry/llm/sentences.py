@@ -135,7 +135,7 @@ def _closing(before: str, stop: str, nxt: str, rest: str, gap: bool) -> float:
     if len(word) == 1 and (raw[-1].isupper() or not gap):
         return NEVER
     if word in MAYBE_FINAL:
-        return 1.5
+        return 1.5 if word in ("r", "р") else 2.5
     if word in NEVER_FINAL:
         return NEVER
     if not gap and len(word) < 2:

@@ -43,6 +43,7 @@ def cut(text):
         ("Am 9. Oktober 2001 trat sie in Kraft. Herr Dr. Ott kam, z. B. im Mai.", ["Am 9. Oktober 2001 trat sie in Kraft.", "Herr Dr. Ott kam, z. B. im Mai."]),
         ("主席宣布：“结束。现在表决。”随后中止了。政府是否审查？", ["主席宣布：“结束。现在表决。”随后中止了。", "政府是否审查？"]),
         ("यह है। क्या?", ["यह है।", "क्या?"]),
+        ("Zwolnić jednostki oceny itp.\nOd dnia 26 sierpnia 2024 r. Prezes Urzędu prowadzi wykaz.", ["Zwolnić jednostki oceny itp.", "Od dnia 26 sierpnia 2024 r. Prezes Urzędu prowadzi wykaz."]),
         ("", []), ("  \n ", []), ("x", ["x"]), ("Bez kropki", ["Bez kropki"]),
     ],
 )
@@ -196,8 +197,8 @@ def test_sound_text(sound):
 
 def test_garbled_fields(spark):
     bad = PHRASE.encode().decode("cp1250", "replace")
-    d = legal(spark, ("a", PHRASE, "opÅ‚ata"), ("a", PHRASE, "opłata", {"updated_at": T1}), ("b", "zak³adu spo³ecznego", None), ("c", None, "ust�pienie"), ("d", None, ""), ("e", "x", bad))
-    assert {(r.id, r.field) for r in encoding.garbled_fields(d).collect()} == {("b", "title"), ("c", "content"), ("e", "content")}
+    d = legal(spark, ("a", PHRASE, "opÅ‚ata"), ("a", PHRASE, "opłata", {"updated_at": T1}), ("b", "zak³adu spo³ecznego", None), ("c", None, "ust�pienie"), ("d", "rolnej?nie", ""), ("f", "x", "rejst?íku zem?d?lského"), ("e", "x", bad))
+    assert {(r.id, r.field) for r in encoding.garbled_fields(d).collect()} == {("b", "title"), ("c", "content"), ("e", "content"), ("f", "content")}
     fixed = {(r.id, r.field): r for r in encoding.repaired_fields(d).collect()}
     assert fixed["b", "title"].restored == "zakładu społecznego" and fixed["c", "content"].lost
     assert encoding.garbled_fields(d.limit(0)).count() == 0
