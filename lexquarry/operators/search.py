@@ -283,17 +283,22 @@ def overlap(query: str, column: Column) -> Column:
     return F.size(F.array_intersect(F.array(*[F.lit(x) for x in q]), word_set(column))) / F.lit(max(1, len(q)))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def passages(df: DataFrame, query: str, *, key: str = "id", text: str = "content", most: int = 3, length: int = 200) -> DataFrame:
     """``key, rank, score, passage``: the sentences that share most words with the query, each with its neighbours.
 
     Sentences end at full stops; those under 10 characters or without a shared word are left out; of equal ones later ones come first.
     """
-    d = df.select(key, F.transform(F.split(text, r"\."), lambda x: F.trim(x)).alias("s"))
+    d = df.select(key, F.transform(F.split(text, r"\."), stripped).alias("s"))
     d = d.select(key, "s", F.posexplode("s").alias("i", "sentence")).where(F.length("sentence") >= 10)
     d = d.withColumn("score", overlap(query, F.col("sentence"))).where("score > 0")
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("i"), F.desc("sentence"))
     d = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    around = F.trim(F.array_join(F.expr("slice(s, greatest(i, 1), 2 + cast(i > 0 as int))"), ". "))
+    around = stripped(F.array_join(F.expr("slice(s, greatest(i, 1), 2 + cast(i > 0 as int))"), ". "))
     passage = F.when(F.length(around) > length, F.concat(F.substring(around, 1, length), F.lit("..."))).otherwise(around)
     return d.select(key, "rank", "score", passage.alias("passage"))
 

@@ -236,6 +236,8 @@ HEAD = "CASE " + " ".join(f"WHEN regexp_matches(lower(substring(concat_ws(chr(10
 ONE = lambda expr, col="content": f"WITH {CUR} SELECT id, md5({expr}) AS out FROM cur"
 RX = lambda e, *rules: reduce(lambda a, r: f"regexp_replace({a}, '{r[0]}', '{r[1]}', 'g')", rules, e)
 
+REF = r"art\.\s*(\d+[a-z]?)(?:\s+ust\.\s*(\d+))?(?:\s+pkt\s*(\d+))?(?:\s+lit\.\s*([a-z]))?"
+
 ORACLES = {
     "content_stats": f"WITH {CUR} SELECT id, length(content) AS chars, {WORDS} AS words, CAST((length(content) - length(replace(content, chr(10) || chr(10), ''))) / 2 AS INTEGER) + 1 AS paragraphs, len(regexp_extract_all(lower(content), 'art\\.\\s*\\d+[a-z]?')) AS articles, len(regexp_extract_all(lower(content), 'ust\\.\\s*\\d+')) AS sections FROM cur",
     "linguistic_features": f"WITH {CUR}, t AS (SELECT id, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS t FROM cur) SELECT id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens, 'UNKNOWN' AS tag FROM t",
@@ -262,4 +264,10 @@ ORACLES = {
     "text_whitespace": ONE("trim(regexp_replace(regexp_replace(content, '[\\x{00A0}\\x{2000}-\\x{200B}\\x{2028}\\x{2029}]', ' ', 'g'), '\\s+', ' ', 'g'))"),
     "text_diacritics": ONE(f"translate(content, '{T.POLISH}', '{T.PLAIN}')"),
     "act_ids": "WITH t AS (SELECT eli_id, trim(eli_id) AS t FROM act_registry) SELECT eli_id, regexp_matches(t, '^(?:pl|PL)/|^[A-Z]{1,3}/\\d{4}/\\d+') AND length(t) >= 5 AND NOT regexp_matches(t, '[<>\"&\\t\\n]') AS valid, CASE WHEN regexp_matches(t, '^[A-Za-z]{2}/') THEN lower(substring(t, 1, 2)) || substring(regexp_replace(regexp_replace(t, '/+', '/', 'g'), '/+$', ''), 3) ELSE regexp_replace(regexp_replace(t, '/+', '/', 'g'), '/+$', '') END AS formatted FROM t",
+    "text_paragraphs": f"WITH {CUR}, p AS (SELECT id, list_filter(list_transform(string_split_regex(content, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM cur) SELECT id, CAST(i - 1 AS INTEGER) AS n, md5(l[i]) AS digest FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM p) x",
+    "text_words": f"WITH {CUR}, w AS (SELECT id, flatten(list_transform(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> ''), lambda x: CASE WHEN length(x) > 1 AND regexp_matches(x, '[!-/:-@\\[-`{{-~]$') THEN [substring(x, 1, length(x) - 1), right(x, 1)] ELSE [x] END)) AS w FROM cur) SELECT id, len(w) AS tokens, md5(array_to_string(w, '|')) AS digest FROM w",
+    "gate_errors": f"""WITH {CUR}, q AS (SELECT *, {DQ} AS q, {ACT} AS kind FROM cur), e AS (SELECT id, concat_ws(',', CASE WHEN coalesce(trim(title) = '' OR title = 'Untitled Document', true) THEN 'title' END, CASE WHEN coalesce(length(content), 0) < 100 THEN 'too_short' END,
+        CASE WHEN coalesce(length(content), 0) > 1000000 THEN 'too_long' END, CASE WHEN coalesce(trim(eli_identifier) = '', true) THEN 'identifier' END, CASE WHEN q < 0.5 THEN 'quality' END, CASE WHEN kind = 'unknown' THEN 'type' END,
+        CASE WHEN NOT coalesce(regexp_matches(lower(content), 'art\\.\\s*\\d+[a-z]?'), false) THEN 'articles' END) AS errors FROM q) SELECT id, errors = '' AS valid, errors FROM e""",
+    "legal_refs": f"WITH {CUR}, r AS (SELECT id, regexp_extract_all(lower(content), '{REF}') AS l FROM cur), x AS (SELECT id, CAST(i - 1 AS INTEGER) AS n, l[i] AS reference FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM r) y) SELECT id, n, reference, nullif(regexp_extract(reference, '{REF}', 1), '') AS article, nullif(regexp_extract(reference, '{REF}', 2), '') AS section, nullif(regexp_extract(reference, '{REF}', 3), '') AS point, nullif(regexp_extract(reference, '{REF}', 4), '') AS letter FROM x",
 }

@@ -269,3 +269,16 @@ ORACLES = {
     "rank_composite": f"WITH {RANKED} SELECT id, round(temporal, 6) AS temporal, CAST(w_type AS DOUBLE) AS w_type, CAST(w_domain AS DOUBLE) AS w_domain, CAST(w_amendment AS DOUBLE) AS w_amendment, round(composite, 6) AS composite FROM c",
     "search_ranked": f"WITH {RANKED}, k AS (SELECT * FROM c WHERE similarity >= 0.1 ORDER BY round(similarity, 9) DESC, id LIMIT 80) SELECT id, document_type, round(similarity, 6) AS similarity, round(composite, 6) AS composite FROM k ORDER BY round(composite, 9) DESC, id LIMIT 20",
 }
+
+_Q = sorted({w for w in QUERY_TEXT.lower().split()})
+_SHARE = lambda c: f"len(list_intersect({_Q!r}, list_distinct(list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> '')))) / CAST({len(_Q)} AS DOUBLE)"
+_STRIP = lambda c: f"regexp_replace({c}, '^[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}]+|[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}]+$', '', 'g')"
+_AROUND = "array_to_string(list_slice(s, greatest(i, 1), greatest(i, 1) + 1 + CASE WHEN i > 0 THEN 1 ELSE 0 END), '. ')"
+_PASSAGES = f"""{CUR}, s AS (SELECT id, list_transform(string_split(content, '.'), lambda x: {_STRIP('x')}) AS s FROM cur), e AS (SELECT id, s, i, s[i + 1] AS t FROM (SELECT id, s, unnest(range(0, len(s))) AS i FROM s) x),
+ o AS (SELECT id, s, i, t, {_SHARE('t')} AS score FROM e WHERE length(t) >= 10), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, i DESC, t DESC) AS rank FROM o WHERE score > 0),
+ p AS (SELECT id, rank, score, {_STRIP(_AROUND)} AS p FROM r WHERE rank <= 3),
+ g AS (SELECT id, rank, score, CASE WHEN length(p) > 200 THEN substring(p, 1, 200) || '...' ELSE p END AS passage FROM p)"""
+ORACLES |= {
+    "passages_topn": f"WITH {_PASSAGES} SELECT id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, passage FROM g",
+    "passage_relevance": f"WITH {_PASSAGES} SELECT id, round(least(1.0, avg({_SHARE('passage')})), 6) AS relevance FROM g GROUP BY id",
+}
