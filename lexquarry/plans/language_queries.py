@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import table
 from ..functions import spans as S
 from ..operators import language as L
+from ..operators import relationships as R
 from .common import CUR, current
 
 QUERIES: dict = {}
@@ -155,3 +156,39 @@ def query_understanding(spark, sf):
 @query(f"SELECT kind, count(*) AS n FROM (WITH {CUR}, q AS (SELECT lower(title) AS q FROM cur) SELECT CASE WHEN regexp_matches(q, '\\bart\\.\\s*\\d+|§\\s*\\d+') THEN 'legal_reference' WHEN regexp_matches(q, '\\b(?:19|20)\\d{{2}}\\b') THEN 'temporal' WHEN " + " OR ".join(f"contains(q, '{t}')" for t in L.QUERY_PARLIAMENT) + " THEN 'cross_register' WHEN " + " OR ".join(f"contains(q, '{t}')" for t in L.QUERY_CONCEPTS) + " THEN 'concept' ELSE 'general' END AS kind FROM q) x GROUP BY kind")
 def query_type(spark, sf):
     return L.query_plan(current(spark, sf, "id", "title"), "title").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def relation_parties(spark, sf):
+    d = R.parties(docs(spark, sf), "id", "content")
+    return d.select("id", "n", "type", "name", "start", "end", F.array_join("modifiers", ",").alias("modifiers"), "time")
+
+
+@query()
+def relationships(spark, sf):
+    d = R.relationships(docs(spark, sf), "id", "content")
+    return d.select("id", "n", "type", "source_type", "target_type", "start", "end", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def relation_network(spark, sf):
+    return R.network(R.relationships(docs(spark, sf), "id", "content"))
+
+
+@query()
+def relation_insights(spark, sf):
+    return R.insights(R.relationships(docs(spark, sf), "id", "content"), "id")
+
+
+@query()
+def text_analysis(spark, sf):
+    """Complexity of a text from its concepts, their relations and its kinds of discourse markers."""
+    d = docs(spark, sf)
+    found = L.concepts(d, "id", "content")
+    c = found.groupBy("id").agg(F.count("*").alias("concepts"))
+    r = L.concept_relations(found, "id").groupBy("id").agg(F.count("*").alias("relations"))
+    m = L.discourse(d, "id", "content")
+    kinds = sum((F.when(F.col(k) > 0, 1).otherwise(0) for k in L.DISCOURSE), F.lit(0))
+    out = m.select("id", kinds.alias("markers")).join(c, "id", "left").join(r, "id", "left").fillna(0)
+    part = lambda col, n, w: w * F.least(F.lit(1.0), F.col(col) / n)
+    return out.withColumn("complexity", F.round(part("concepts", 50, 0.4) + part("relations", 20, 0.4) + part("markers", 5, 0.2), 2))

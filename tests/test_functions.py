@@ -199,3 +199,13 @@ def test_ingest_stream(spark, tmp_path):
 def test_steps(spark):
     s = K.Steps(("half", lambda d: d.where("id < 5")), ("one", lambda d: d.where("id = 1")))
     assert s.run(spark.range(10), measure=True).count() == 1 and s.counts == {"half": 5, "one": 1}
+
+
+def test_relationships(spark):
+    from lexquarry.operators import relationships as R
+
+    d = spark.createDataFrame([(1, "Minister powołuje komisję nadzoru; ustawa zastępuje rozporządzenie ministra.\nNic."), (2, None)], "id int, t string")
+    got = {(r.type, r.source, r.target, r.source_type) for r in R.relationships(d, "id", "t").collect()}
+    assert ("establishes", "Minister", "komisję nadzoru", "institution") in got
+    assert {r.type for r in R.parties(d, "id", "t").collect()} == {"institution", "legal_act"}
+    assert all(0.6 <= r.confidence <= 1 for r in R.relationships(d, "id", "t").collect())
