@@ -48,7 +48,7 @@ class Words:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > 2_000_000:
+        if len(known) > 500_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
