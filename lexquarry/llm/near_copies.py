@@ -193,15 +193,15 @@ def _verify(least: float):
 
 
 def class_pairs(texts: DataFrame, width: int, least: float, orders: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """``id, key`` of every text with a non-empty set, and ``ka, kb, sim`` of the pairs of different classes.
+    """``id, key`` of every text (the key of an empty set is null), and ``ka, kb, sim`` of the pairs of different classes.
 
     ``texts``: ``id string, ord, text string``; of several rows of an ``id`` the one with the greatest ``ord`` counts.
     """
     kind = dict(texts.dtypes)["ord"]
     made = texts.mapInArrow(_features(width, orders, rows), f"id string, ord {kind}, n int, key binary, hashes binary, minima array<bigint>")
     made = cut(made)
-    ids = newest(made, "id", "ord", "n", "key").where("n > 0").select("id", "key")
-    live = ids.select("key").distinct()
+    ids = newest(made, "id", "ord", "n", "key").select("id", F.when(F.col("n") > 0, F.col("key")).alias("key"))
+    live = ids.where("key is not null").select("key").distinct()
     # one row for each class; equal rows meet map-side already, so a class of any size moves once for each task
     classes = made.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("minima").alias("minima")).join(live, "key", "left_semi")
     narrow = classes.select("key", "n", F.posexplode("minima").alias("o", "m"))
@@ -243,6 +243,7 @@ def similar_ids(texts: DataFrame, width: int = 3, least: float = 0.7, orders: in
     members are paired with that id, so that no group of copies is expanded quadratically and no link is lost.
     """
     ids, pairs = class_pairs(texts, width, least, orders, rows)
+    ids = ids.where("key is not null")
     sizes = ids.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
     ids = cut(ids.join(sizes, "key"))
     spread = ids.where((F.col("c") <= EXPAND) | (F.col("id") == F.col("rep"))).select("key", "id", "c")
@@ -257,9 +258,10 @@ def similar_ids(texts: DataFrame, width: int = 3, least: float = 0.7, orders: in
 def groups(ids: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """``id, class_id, group_id, links``: the class of equal sets, the group of linked classes, and the links of the class.
 
-    Groups are the connected components of the classes, by repeated adoption of the smallest neighbouring label.
+    Groups are the connected components of the classes, by repeated adoption of the smallest neighbouring label. A text with an
+    empty set is a class and a group of its own.
     """
-    names = ids.groupBy("key").agg(F.min("id").alias("class_id"))
+    names = ids.where("key is not null").groupBy("key").agg(F.min("id").alias("class_id"))
     edges = pairs.join(names.select(F.col("key").alias("ka"), F.col("class_id").alias("a")), "ka").join(names.select(F.col("key").alias("kb"), F.col("class_id").alias("b")), "kb")
     edges = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut(edges.groupBy("a").agg(F.count("*").alias("links"), F.least("a", F.min("b")).alias("g")))
@@ -273,7 +275,7 @@ def groups(ids: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    out = ids.join(names, "key").join(label.withColumnRenamed("a", "class_id"), "class_id", "left")
+    out = ids.join(names, "key", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(label.withColumnRenamed("a", "class_id"), "class_id", "left")
     return out.select("id", "class_id", F.coalesce("g", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -242,10 +242,11 @@ def test_large_class_is_a_star(spark, monkeypatch):
 def test_groups_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 2)
     base = [f"w{i}" for i in range(60)]
-    rows = [(f"{k}", "t", " ".join(base[k : 50 + k])) for k in range(6)] + [("x", "t", "zupełnie inny tekst o czymś innym niż tamte"), ("y", "t", "zupełnie inny tekst o czymś innym niż tamte")]
+    rows = [(f"{k}", "t", " ".join(base[k : 50 + k])) for k in range(6)] + [("x", "t", "zupełnie inny tekst o czymś innym niż tamte"), ("y", "t", "zupełnie inny tekst o czymś innym niż tamte"), ("z", "t", None)]
     ids, pairs = near_copies.class_pairs(near_copies.texts_of(legal(spark, *rows)), 3, 0.7, 20, 3)
     got = {r.id: r for r in near_copies.groups(ids, pairs).collect()}
     assert {got[str(k)].group_id for k in range(6)} == {"0"} and got["y"].class_id == "x" and got["x"].links == 0 and got["3"].links == 5
+    assert got["z"].class_id == got["z"].group_id == "z" and len(got) == 9
 
 
 def test_bit_bound_is_never_too_low():
