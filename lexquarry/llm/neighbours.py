@@ -1,7 +1,7 @@
 """Problem 2: the most similar vectors of every vector, as a block matrix join.
 
 Every usable vector is scaled to length one and put into the ``copies`` nearest of a number of cells, whose pivots are a bounded sample
-of the vectors. Inside a cell, blocks of vectors are quantised to int8 and multiplied tile by tile; the integer products give
+of the distinct vectors, nearly equal ones left out. Inside a cell, blocks of vectors are quantised to int8 and multiplied tile by tile; the integer products give
 similarities with a proven quantisation error, so that a pair is left out only if its upper bound is below the threshold.
 Surviving pairs are recomputed in float, and the best k of each vector of a tile are merged with those of its other tiles. Cells keep the work per vector constant as the collection grows; a cell with more rows than
 a block is worked off as pairs of blocks in separate tasks, so that none is cut short. Two similar vectors meet if they share
@@ -30,6 +30,8 @@ from ..session import cut
 BLOCK = 4096
 #: The float rounding of a product of two unit vectors of a few hundred values.
 ROUNDING = 1e-5
+#: Similarity from which two pivots would build the same cell.
+NEARLY_EQUAL = 0.99
 
 
 def _usable(column: pa.Array, dimension: int) -> np.ndarray:
@@ -126,6 +128,56 @@ def _tiles(k: int, least: float, dimension: int):
     return run
 
 
+def _smallest(n: int, dimension: int):
+    """The ``n`` distinct vectors of a task with the smallest digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bytes, bytes] = {}
+        bound = b"\xff" * 12
+        for b in batches:
+            column = b.column("vec").take(pa.array(_usable(b.column("vec"), dimension)))
+            if not len(column):
+                continue
+            for r in _unit(column, dimension)[0] + np.float32(0):  # -0.0 becomes 0.0
+                vec = r.tobytes()
+                key = hashlib.blake2b(vec, digest_size=12).digest()
+                if key <= bound:
+                    kept[key] = vec
+            if len(kept) > n:
+                kept = {k: kept[k] for k in sorted(kept)[:n]}
+                bound = next(reversed(kept))
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(list(kept.values()), pa.binary())], ["key", "vec"])
+
+    return run
+
+
+def apart(u: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of the unit vectors ``u`` that are not nearly equal to one taken before."""
+    taken = np.empty((most, u.shape[1]), u.dtype)
+    n = 0
+    for x in u:
+        if n == most:
+            break
+        if not n or (taken[:n] @ x).max() < NEARLY_EQUAL:
+            taken[n] = x
+            n += 1
+    return taken[:n]
+
+
+def choose_pivots(vectors: DataFrame, cells: int, dimension: int) -> np.ndarray:
+    """Unit vectors around which cells are built, from a bounded sample (four for a cell) of the distinct usable vectors.
+
+    A vector enters the sample once, however many rows hold it: equal pivots would tie, and which of them a vector goes to would be chance.
+    """
+    n = 4 * cells
+    sample = vectors.where(F.size("vec") == dimension).select("vec").mapInArrow(_smallest(n, dimension), "key binary, vec binary")
+    got = sample.distinct().orderBy("key").limit(n).select("vec").toArrow().column("vec").to_pylist()
+    if not got:
+        return np.empty((0, dimension), np.float32)
+    column = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(got), np.float32)), dimension)
+    return apart(_unit(column, dimension)[1].astype(np.float32), cells)
+
+
 def cell_count(rows: int) -> int:
     """Cells for a collection: about 800 vectors for each, 2,048 at most (then cells hold several blocks)."""
     return max(8, min(2048, rows // 800))
@@ -138,12 +190,9 @@ def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, copies: in
     """
     spark = vectors.sparkSession
     cells = cell_count(vectors.count())
-    # the bounded sample the pivots are taken from: two rows for a cell, of which the first usable ones are kept
-    sample = vectors.where(F.size("vec") == dimension).orderBy(F.xxhash64("id"), "id").limit(2 * cells).select("vec").toArrow().column("vec").combine_chunks()
-    good = sample.take(pa.array(_usable(sample, dimension)))[:cells] if len(sample) else sample
-    if not len(good):
+    pivots = choose_pivots(vectors, cells, dimension)
+    if not len(pivots):
         return spark.createDataFrame([], "id_a string, id_b string")
-    pivots = _unit(good, dimension)[1].astype(np.float32)
     coded = vectors.mapInArrow(_encode(pivots, copies, dimension), "grp string, id string, key binary, vec binary, cells array<int>").persist()
     place = F.xxhash64("grp", "cell")
     placed = coded.where("cells is not null").select("grp", "key", "vec", F.explode("cells").alias("cell")).select(place.alias("cell"), "key", "vec")

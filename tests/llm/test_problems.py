@@ -102,6 +102,29 @@ def test_neighbours(spark):
     assert neighbours.similar_pairs(d.limit(0)).count() == 0
 
 
+def test_neighbours_beside_a_hot_vector(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "cell_count", lambda rows: 2048)
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=64)
+    hot /= np.linalg.norm(hot)
+    rows = [("", f"hot-{i:04d}", hot.astype(np.float32).tolist()) for i in range(1400)]
+    rows += [("", f"far-{i:04d}", rng.normal(size=64).astype(np.float32).tolist()) for i in range(2500)]
+    for i in range(150):  # pairs that are closer to each other than to the hot vector
+        mid = hot + rng.normal(size=64) * 0.09
+        rows += [("", f"near-{i:03d}-{j}", (mid + rng.normal(size=64) * 0.02).astype(np.float32).tolist()) for j in range(2)]
+    d = spark.createDataFrame(rows, "grp string, id string, vec array<float>")
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(d).collect()}
+    want = {(f"near-{i:03d}-0", f"near-{i:03d}-1") for i in range(150)}
+    assert len(want & got) >= 0.99 * len(want)
+    pivots = neighbours.choose_pivots(d, 2048, 64)
+    assert len(pivots) == 2048 and (np.triu(pivots @ pivots.T, 1) < neighbours.NEARLY_EQUAL).all()
+
+
+def test_nearly_equal_pivots_are_dropped():
+    u = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2]]
+    assert neighbours.apart(u, 4).tolist() == np.eye(4)[[0, 1, 2]].tolist() and len(neighbours.apart(u, 2)) == 2
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(0)
     u = rng.normal(size=(300, 64))
