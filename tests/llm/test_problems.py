@@ -308,6 +308,26 @@ def test_scans(spark):
     assert scans.scan_noise(d.limit(0)).count() == 0
 
 
+def test_letters_misread_for_letters(spark):
+    long = "organizacyjno" * 4
+    filler = "\n".join([f"przeprowadza którym zażółcić ile {long}"] * 12)
+    page = f"Organ pŕzeprowadza nabór, o\nktóŕym mowa w przepisach; {long.replace('g', '9', 1)}\nżądanie i façade, Île d’Ärö"
+    d = legal(spark, ("a", "t", "", {"pdf_extracted_text": page}), ("b", "t", "", {"pdf_extracted_text": filler}))
+    got = {(r.line_no, r.wrong, r.right) for r in scans.scan_noise(d).where("kind = 'misread'").collect()}
+    assert got == {(1, "pŕzeprowadza", "przeprowadza"), (2, "któŕym", "którym"), (2, long.replace("g", "9", 1), long)}
+
+
+def test_marked_letters_of_the_language_are_sound():
+    assert not scans.doubtful("zażółć", scans.FOREIGN["pl"]) and not scans.doubtful("été", scans.FOREIGN["fr"])
+    assert scans.doubtful("été", scans.FOREIGN["pl"]) and scans.doubtful("Ŕok", scans.FOREIGN["pl"])
+
+
+def test_repeated_edge_lines_are_furniture():
+    pages = [f"Biuletyn gminy, zeszyt {i}\nTreść strony {w} jest tu.\nDalej {w} idzie." for i, w in enumerate(["pierwsza", "druga", "trzecia"])]
+    lines = "\n\f\n".join(pages).split("\n")
+    assert scans.furniture(lines, None) == {0, 4, 8} and scans.furniture(lines[:7], None) == set()
+
+
 def test_anagram_difference():
     for wrong, right, diff in scans.differences():
         assert scans.anagram("a" + right + "b") - scans.anagram("a" + wrong + "b") == diff
