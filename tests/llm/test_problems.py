@@ -308,6 +308,16 @@ def test_scans(spark):
     assert scans.scan_noise(d.limit(0)).count() == 0
 
 
+def test_copies_of_a_text_count_once(spark):
+    filler = "\n".join(["budowlanego zakładu środków dane"] * 12)
+    page = "Organ prowadzi clane od dziś."
+    old = {"pdf_extracted_text": page + " Zmiana.", "updated_at": T0}
+    copies = [(f"c{i:02d}", f"t {i}", "", {"pdf_extracted_text": page, "updated_at": T1}) for i in range(20)]
+    d = legal(spark, *copies, copies[0], ("c00", "t 0", "", old), ("z", "t", "", {"pdf_extracted_text": filler}))
+    got = {(r.id, r.wrong, r.right) for r in scans.scan_noise(d).where("kind = 'misread'").collect()}
+    assert got == {(f"c{i:02d}", "clane", "dane") for i in range(20)}
+
+
 def test_letters_misread_for_letters(spark):
     long = "organizacyjno" * 4
     filler = "\n".join([f"przeprowadza którym zażółcić ile {long}"] * 12)
