@@ -418,3 +418,25 @@ def test_cut_texts(spark, corpus):
     found = sum(1000 + i in hit for i in range(len(cuts)))
     assert found >= 0.95 * len(cuts) and sum(i in hit for i in range(len(corpus))) <= 6
     assert cut_texts.judged(d.limit(0)).count() == 0
+
+
+def test_contexts_are_counted_exactly(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdef .") for _ in range(3000)) for _ in range(200)]  # more contexts than a hashed table of 2 ** 18 holds apart
+    ends = ["abc de", "fa.bcd", "cafe bad", "abcdefabcde"]
+    keys = {k for x in ends for k in cut_texts._ends(x) if k is not None}
+    d = spark.createDataFrame([(t,) for t in texts + ends], "text string").repartition(3)
+    got = {r.key: (r.inside, r.outside, r.ends, r.stops) for r in cut_texts.train(d, spark.createDataFrame([(k,) for k in keys], "key bigint")).collect()}
+    for x in ends:
+        for n, key in zip(cut_texts.ORDERS, cut_texts._ends(x)):
+            if key is None:
+                continue
+            want = [0, 0, 0, 0]
+            for t in map(str.rstrip, texts + ends):
+                t = "\0" * 11 + t
+                for i in range(n, len(t) + 1):
+                    if t[i - n : i] == x[-n:]:
+                        after = t[i : i + 1]
+                        want[0 if after.isalnum() else 1 if after else 2] += 1
+                        want[3] += after == "."
+            assert got[key] == tuple(want)
