@@ -440,3 +440,11 @@ def test_contexts_are_counted_exactly(spark):
                         want[0 if after.isalnum() else 1 if after else 2] += 1
                         want[3] += after == "."
             assert got[key] == tuple(want)
+
+
+def test_copies_of_a_cut_text_are_cut(spark, corpus):
+    copies = ["Rada gminy może zwolnić od portu.\n\nKwarantanna obej", "Organ prowadzi wykaz lasu.\n\nZwykłe przesłanki odmo"]
+    rows = [(i, "a", t) for i, t in enumerate(corpus)] + [(1000 + 100 * j + i, "b", t + " " * (i % 2)) for j, t in enumerate(copies) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(5)
+    hit = {r.doc_id for r in cut_texts.judged(d).where("cut").collect()}
+    assert {r[0] for r in rows if r[0] >= 1000} <= hit and len([i for i in hit if i < 1000]) <= 6
