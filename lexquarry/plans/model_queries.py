@@ -48,6 +48,27 @@ def token_importance(spark, sf):
     return E.token_importance(E.token_weights(current(spark, sf, "id", "title"), "id", "title"), "id").withColumn("weight", F.round("weight", 6))
 
 
+def _whole(spark, sf):
+    """Title and content of the current documents as one text, as bags take it."""
+    return current(spark, sf, "id", "title", "content").select("id", F.concat_ws(" ", "title", "content").alias("text"))
+
+
+@query()
+def bag_weights_whole(spark, sf):
+    return E.token_weights(_whole(spark, sf), "id", "text").withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def bag_tokens_whole(spark, sf):
+    w = E.token_weights(_whole(spark, sf), "id", "text")
+    return w.groupBy("id").agg(F.count("*").alias("vocabulary"), F.sum("n").alias("tokens"), F.round(F.max("weight"), 6).alias("heaviest"))
+
+
+@query()
+def token_importance_whole(spark, sf):
+    return E.token_importance(E.token_weights(_whole(spark, sf), "id", "text"), "id").withColumn("weight", F.round("weight", 6))
+
+
 @query()
 def text_vectors(spark, sf):
     d = E.encode(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
@@ -56,7 +77,7 @@ def text_vectors(spark, sf):
 
 @query()
 def bag_vectors(spark, sf):
-    d = E.bag_vectors(current(spark, sf, "id", "title"), "id", "title")
+    d = E.bag_vectors(_whole(spark, sf), "id", "text")
     return d.select("id", F.size("vector").alias("dimension"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
 
 

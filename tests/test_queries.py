@@ -33,3 +33,34 @@ def test_entry(spark, sf):
 
     assert set(QUERIES) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_bags_take_title_and_content(spark, tmp_path):
+    import datetime
+    import math
+    import re
+    from collections import Counter
+
+    from lexquarry.operators import embedding as E
+    from lexquarry.plans import model_queries as M
+
+    docs = {"a": ("Ustawa o portach", "Organ prowadzi rejestr. Rejestr portowy 2024 i 12."), "b": ("Umowa", "Minister wydaje rozporządzenie, minister ogłasza.")}
+    rows = [(i, t, c, datetime.datetime(2024, 1, 1)) for i, (t, c) in docs.items()]
+    spark.createDataFrame(rows, "id string, title string, content string, updated_at timestamp_ntz").write.parquet(str(tmp_path / "legal_documents.parquet"))
+    want = {}
+    for i, (title, content) in docs.items():
+        words = [w for w in re.findall(r"\w+", f"{title} {content}".lower()) if len(w) >= 2 and (w not in E.STOP_WORDS or w in E.LEGAL_WORDS) and not (w.isdigit() and len(w) < 4)]
+        n = Counter(words)
+        raw = {w: k / len(words) * math.log(1 + 1 / (1 + k)) * (1.5 if w in E.LEGAL_WORDS else 1) * (1.2 if len(w) > 6 else 1) for w, k in n.items()}
+        want[i] = {w: (n[w], round(x / sum(raw.values()), 6)) for w, x in raw.items()}
+    sf = str(tmp_path)
+    got = {(r.id, r.token): (r.n, r.weight) for r in M.bag_weights_whole(spark, sf).collect()}
+    assert set(got) == {(i, w) for i in want for w in want[i]}
+    assert all(abs(got[i, w][1] - want[i][w][1]) < 2e-6 and got[i, w][0] == want[i][w][0] for i, w in got)
+    assert {r.id: (r.vocabulary, r.tokens) for r in M.bag_tokens_whole(spark, sf).collect()} == {i: (len(x), sum(n for n, _ in x.values())) for i, x in want.items()}
+    assert {(r.id, r.token) for r in M.token_importance_whole(spark, sf).collect()} == set(got)
+    assert {r.id: round(r.length, 4) for r in M.bag_vectors(spark, sf).collect()} == {"a": 1.0, "b": 1.0}
+    d = E.bag_vectors(M._whole(spark, sf), "id", "text").collect()
+    for r in d:
+        v = sum(x * E.HashEncoder().encode([w])[0] for w, (_, x) in want[r.id].items())
+        assert max(abs(v / math.sqrt(v @ v) - r.vector)) < 1e-4
