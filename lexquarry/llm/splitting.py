@@ -6,8 +6,9 @@ piece that starts ``overlap`` before it can reach, if that fills half the limit,
 farthest word end, else the limit itself. Squaring the successor table (pointer doubling) then yields all greedy cuts of all
 texts of a batch at once: after k squarings every text has its first 2**k cuts.
 
-Defined results: null, empty and short texts give no piece; ``max_chars`` null or below 1 is no limit; an overlap is cut to
-less than half the limit so that pieces always advance; a text of one long run is cut at the limit.
+Defined results: null, empty and short texts give no piece; ``max_chars`` null or below 1 is no limit; an overlap of the limit
+or more leaves nothing to advance by and counts as one sign less than the limit; a text of one long run is cut at the limit.
+Rows of ``document_embeddings`` hold no text, so of these only the sizes are compared (``oversized_chunks``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import newest, table
@@ -29,17 +30,25 @@ BLANKS = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x2
 PIECES = "array<struct<start_pos:int,end_pos:int,cut:string>>"
 
 
-def boundaries(text: str, limit: int) -> list[np.ndarray]:
+def _without_blanks(text: str, at: int) -> int:
+    """``at``, moved back over the white space before it."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def boundaries(text: str, limit: int, overlap: int = 0) -> list[np.ndarray]:
     """Positions at which a piece may end, by level: sign, word, sentence, paragraph."""
     n = len(text)
     paragraph = np.array([m.start() for m in BLANK_LINE.finditer(text) if m.start()], np.int64)
-    ends = [len(text[:s].rstrip()) if text[s - 1 : s].isspace() else s for s in sentence_starts(text)[1:]]
+    ends = [_without_blanks(text, s) for s in sentence_starts(text)[1:]]
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = np.isin(codes, BLANKS)
     word = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     # runs of signs or of blanks that may not fit are cut anywhere
     edges = np.concatenate([[0], np.flatnonzero(blank[1:] != blank[:-1]) + 1, [n]])
-    runs = [np.arange(edges[k] + 1, edges[k + 1] + 1) for k in np.flatnonzero(np.diff(edges) > limit // 4)]
+    fits = min(limit // 4, (limit - overlap) // 2)
+    runs = [np.arange(edges[k] + 1, edges[k + 1] + 1) for k in np.flatnonzero(np.diff(edges) > fits)]
     sign = np.concatenate(runs) if runs else np.empty(0, np.int64)
     return [sign[sign < n], word, np.array(ends, np.int64), paragraph]
 
@@ -68,12 +77,15 @@ def successors(levels: list[np.ndarray], n: int, limit: int, overlap: int) -> tu
 
 
 def split_batch(texts: list[str], limits: list[int], overlaps: list[int]) -> list[list[dict]]:
-    """The pieces of each text; one successor table holds all boundaries of the batch."""
+    """The pieces of each text; one successor table holds all boundaries of the batch.
+
+    A text leaves the table of cuts as soon as it has all of its own, so that a long text does not widen the rows of short ones.
+    """
     nodes, nxt, kinds, roots, ends, laps = [], [], [], [], [], []
     at = 0
     for text, limit, overlap in zip(texts, limits, overlaps):
-        overlap = max(0, min(overlap, (limit - 1) // 2))
-        x, s, k = successors(boundaries(text, limit), len(text), limit, overlap)
+        overlap = max(0, min(overlap, limit - 1))
+        x, s, k = successors(boundaries(text, limit, overlap), len(text), limit, overlap)
         nodes.append(x)
         nxt.append(s + at)
         kinds.append(k)
@@ -84,16 +96,18 @@ def split_batch(texts: list[str], limits: list[int], overlaps: list[int]) -> lis
     if not nodes:
         return []
     pos, jump, kind = np.concatenate(nodes), np.concatenate(nxt), np.concatenate(kinds)
-    step = jump
-    cuts = np.array(roots)[:, None]
-    last = np.array(ends)
-    while (cuts[:, -1] != last).any():
+    step, last = jump, np.array(ends)
+    open_, cuts = np.arange(len(nodes)), np.array(roots)[:, None]
+    paths: list[np.ndarray | None] = [None] * len(nodes)
+    while len(open_):
+        done = cuts[:, -1] == last[open_]
+        for i, row in zip(open_[done].tolist(), cuts[done]):
+            paths[i] = row[: int(np.argmax(row == row[-1])) + 1]
+        open_, cuts = open_[~done], cuts[~done]
         cuts = np.concatenate([cuts, step[cuts]], axis=1)
         step = step[step]
     out = []
-    for row, overlap in zip(cuts, laps):
-        stop = int(np.argmax(row == row[-1]))
-        path = row[: stop + 1]
+    for path, overlap in zip(paths, laps):
         starts = np.maximum(pos[path[:-1]] - overlap, 0)
         starts[:1] = 0
         out.append([{"start_pos": int(a), "end_pos": int(b), "cut": KINDS[int(c)]} for a, b, c in zip(starts, pos[path[1:]], kind[path[:-1]])])
@@ -116,14 +130,22 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_limits(df: DataFrame, limits: DataFrame, type_column: str) -> DataFrame:
     """``df`` with ``__limit`` and ``__overlap`` of its type; ``*`` holds for null and unlisted types.
 
-    ``limits`` is the fixed table of types: it is grouped to one row for a type and only its first row for each is used.
+    ``limits`` is the fixed table of types: it is grouped to one row for a type and read on the driver; of several rows of a
+    type the first by size counts.
     """
-    one = limits.groupBy(F.lower(F.trim("document_type")).alias("__t")).agg(F.min(F.struct("max_chars", "overlap_chars")).alias("__x"))
-    known = F.broadcast(one.where("__t <> '*'"))
-    rest = F.broadcast(one.where("__t = '*'").select(F.lit(1).alias("__one"), F.col("__x").alias("__y")))
-    d = df.withColumn("__t", F.lower(F.trim(type_column))).withColumn("__one", F.lit(1)).join(known, "__t", "left").join(rest, "__one", "left")
-    x = F.coalesce("__x", "__y")
-    return d.withColumn("__limit", x["max_chars"]).withColumn("__overlap", x["overlap_chars"]).drop("__t", "__one", "__x", "__y")
+    one = limits.groupBy(F.lower(F.trim("document_type")).alias("t")).agg(F.min(F.struct("max_chars", "overlap_chars")).alias("x"))
+    known = {r.t: r.x for r in one.collect() if r.t is not None}
+    rest = known.pop("*", None)
+
+    def of(field: str) -> Column:
+        given = F.lit(rest[field] if rest is not None else None).cast("int")
+        if not known:
+            return given
+        listed = F.create_map(*[x for t, r in known.items() for x in (F.lit(t), F.lit(r[field]).cast("int"))])
+        kind = F.coalesce(F.lower(F.trim(type_column)), F.lit(""))
+        return F.when(kind.isin(list(known)), F.try_element_at(listed, kind)).otherwise(given)
+
+    return df.withColumns({"__limit": of("max_chars"), "__overlap": of("overlap_chars")})
 
 
 def split_documents(legal: DataFrame, limits: DataFrame) -> DataFrame:
