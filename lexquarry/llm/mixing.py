@@ -35,19 +35,39 @@ def _due(sums: list[tuple[int, int]], need: float, cap: int) -> float:
     return high
 
 
+#: Numbers of copies are exact below this; above they keep this many leading steps, so that their number stays bounded.
+STEPS = 1000
+
+
+def with_copies(d: DataFrame) -> DataFrame:
+    """``d`` with ``c``, the number of rows of its ``digest``.
+
+    Digests of more than a thousandth of all rows (a thousand of them at most) are broadcast, so that no text stored very often
+    is one task of the join; texts stored once need no join partner at all.
+    """
+    equal = cut(d.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
+    most = d.count() // 1000
+    often, few = F.broadcast(equal.where(F.col("n") > most)), equal.where(F.col("n") <= most)
+    rest = d.join(often, "digest", "left_anti").join(few, "digest", "left")
+    out = rest.unionByName(d.join(often, "digest"))
+    n = F.coalesce("n", F.lit(1))
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(n / STEPS)))
+    return out.withColumn("c", F.when(n < STEPS, n).otherwise((F.floor(n / scale) * scale)).cast("bigint")).drop("n")
+
+
 def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> DataFrame:
     """``doc_id, source, tokens, copies``: the records of the mix. ``sized``: ``doc_id, source, tokens, digest``.
 
     ``targets`` is the fixed table of sources; its rows are read on the driver, and so are the token sums for each source and
-    number of equal texts, a table of listed sources times distinct numbers of repeats.
+    number of equal texts, a table of listed sources times at most some ten thousand numbers of repeats (see ``STEPS``).
     """
     spark = sized.sparkSession
     rows = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").collect()
     want = {r.source: (r.target_share or 0.0, max(0, r.max_repeats or 0)) for r in rows if r.source}
     names = spark.createDataFrame([(s,) for s in want] or [("",)], "source string")
     d = sized.withColumn("source", F.lower(F.trim("source"))).where("tokens > 0").join(F.broadcast(names), "source", "left_semi")
-    equal = d.groupBy("digest").agg(F.count("*").alias("c"))
-    d = cut(d.join(equal, "digest").select("doc_id", "source", "tokens", "c"))
+    d = cut(d.select("doc_id", "source", "tokens", "digest"))  # texts are read and measured once
+    d = cut(with_copies(d).select("doc_id", "source", "tokens", "c"))
     sums: dict[str, list[tuple[int, int]]] = {}
     for r in d.groupBy("source", "c").agg(F.sum("tokens").alias("t")).collect():
         sums.setdefault(r.source, []).append((r.c, r.t))
