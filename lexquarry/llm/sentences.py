@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from ..catalog import newest, table
 from .encoding import SUSPECT_RE, repair
 
-UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĲĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽЀ-ЯҐ"
-UNCASED = "֐-ࣿऀ-෿฀-໿぀-ヿ㐀-鿿가-힯"
+UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĲĴĶĹĻĽĿŁŃŅŇŊŌŎŐŒŔŖŘŚŜŞȘŠŢȚŤŦŨŪŬŮŰŲŴŶŸŹŻŽΆΈ-ΏΑ-ΫЀ-ЯҐԱ-Ֆ"
+UNCASED = "֐-ࣿऀ-෿฀-໿က-ჿሀ-፟ក-៿぀-ヿ㐀-鿿가-힯"
+#: Stops; the Armenian, Ethiopic, Khmer and Burmese ones are full stops of their scripts.
+STOPS = ".!?…。！？।॥؟｡۔։።፧៕။"
+FULL = "。！？।॥؟｡۔։።፧៕။"
 OPENERS = "„«“\"‘「『（\\(\\[〈《"
 CLOSERS = "”»“\"’」』）\\)\\]〉》"
 
@@ -36,6 +39,8 @@ NEVER_FINAL = frozenset(
     m mm mme env n p ex cf
     ст ч п пп див напр бл ім вул р м проф д
     čl odst písm č např tzv ing mgr judr tj dr str
+    sr sra srta dña ud uds ee uu pág núm aprox approx depto avda fig eq vol ed eds ver
+    κ κα κος αρ σελ βλ π.χ δηλ ν
     د डॉ श्री नि""".split()
 )
 #: Abbreviations that may end a sentence or stand within one: the opening words decide.
@@ -51,7 +56,7 @@ DATE_OPENINGS = ("od dnia", "z dniem", "w dniu", "do dnia", "przed dniem", "po d
 
 PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 CANDIDATE = re.compile(
-    rf"[.!?…。！？।؟｡]+(?:[”»“’\"\)\]」』）]+|[\u00a0\u202f ]»)*[.!?…]*(?=\s+[{UPPER}{UNCASED}\d§{OPENERS}–—•-]|[{UPPER}{UNCASED}„«\(])"
+    rf"[{STOPS}]+(?:[”»“’\"\)\]」』）]+|[\u00a0\u202f ]»)*[.!?…]*(?=\s+[{UPPER}{UNCASED}\d§¿¡{OPENERS}–—•-]|[{UPPER}{UNCASED}„«\(¿¡])"
 )
 THAI = re.compile(r"[ก-๛]")
 THAI_GAP = re.compile(r"(?<=[฀-๿\d])\s+(?=[฀-๿])")
@@ -62,7 +67,11 @@ LABEL = re.compile(
 LABEL_ONLY = re.compile(r"(?:(?:Art|Ст|Čl|§|st|ust|pkt)\.?\s*)*\d+[a-z]*[.)](?:\s*\d+[a-z]*[.)])*\s*", re.I)
 SPACE = re.compile(r"[\s﻿​]*")
 
-CUT, NEVER = 4.0, -1e9
+CUT, REFUSED, NEVER = 4.0, -12.0, -1e9
+#: What a span loses that ends inside a quotation or bracket, and one that ends before a bracket going on in small letters.
+UNBALANCED = -14.0
+#: Spans up to so many signs are scored by their words; longer ones lose ``LENGTH`` for each further sign.
+SHORT, LENGTH = 75, 0.0004
 PAIRS = {"„": "”“\"", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）"}
 
 
@@ -97,13 +106,13 @@ def _nested(text: str) -> list[tuple[int, int, str]]:
 def _closing(before: str, stop: str, nxt: str, rest: str, gap: bool) -> float:
     """Score of ending a sentence after ``before`` + ``stop`` when ``rest`` (first character ``nxt``) follows."""
     if nxt.islower():
-        return NEVER
+        return REFUSED
     first = stop[0]
     core = stop.strip("”»“\"’)]」』） \xa0\n")
     closes = stop[-1] in "”»“\"’)]」』）"
     if closes and stop[-1] not in ")]）" and nxt.isalpha() and not nxt.isupper():
-        return NEVER  # a script without case goes on after the quotation
-    if first in "。！？।؟｡":
+        return REFUSED  # a script without case goes on after the quotation
+    if first in FULL:
         return CUT
     if before[-1:] in ("”", "»", "“", '"') and before[-2:-1] not in ("", " ", "\xa0", "\n"):
         return CUT
@@ -125,23 +134,23 @@ def _closing(before: str, stop: str, nxt: str, rest: str, gap: bool) -> float:
     if nxt.isdigit():
         t = rest[:24].split()
         if len(t) < 2 or t[1].rstrip(".,").lower() not in MONTHS:
-            return NEVER if word[-1].isdigit() or word in NEVER_FINAL or word in MAYBE_FINAL or not gap else 1.0
-        return NEVER if word in NEVER_FINAL else 3.0
+            return REFUSED if word[-1].isdigit() or word in NEVER_FINAL or word in MAYBE_FINAL or not gap else 1.0
+        return REFUSED if word in NEVER_FINAL else 3.0
     if word[-1].isdigit():
         head = rest.split(None, 1)[0].rstrip(".,").lower() if rest else ""
-        return NEVER if head in MONTHS else 2.0 if gap or closes else 1.0
+        return REFUSED if head in MONTHS else 2.0 if gap or closes else 1.0
     if closes:
         return CUT
     if len(word) == 1 and (raw[-1].isupper() or not gap):
-        return NEVER
+        return REFUSED
     if word in MAYBE_FINAL:
         return 1.5 if word in ("r", "р") else 2.5
     if word in NEVER_FINAL:
-        return NEVER
+        return REFUSED
     if not gap and len(word) < 2:
-        return NEVER
+        return REFUSED
     if "." in word and word.replace(".", "").isalpha() and len(word) <= 5:
-        return NEVER
+        return REFUSED
     return CUT
 
 
@@ -155,41 +164,47 @@ def _spans(p: str, thai: bool) -> list[int]:
     outer = _nested(p)
     n, k = len(p), 0
     label = LABEL.match(p).end()
-    ends: list[tuple[int, float]] = []
+    bounds, gain = [0], [0.0]
     for s, e in found:
         if s < label - 1 and e <= label:
             continue
-        while k < len(outer) and outer[k][1] < s:
-            k += 1
-        if k < len(outer) and outer[k][0] < s:
-            # inside a quotation or bracket: only its own closing mark can end the sentence
-            if e <= outer[k][1]:
-                continue
         at = SPACE.match(p, e).end()
         if at >= n:
             continue
+        while k < len(outer) and outer[k][1] < s:
+            k += 1
         stop = p[s:e]
-        if not stop.strip():
-            ends.append((at, 3.0))
-            continue
-        score = _closing(p[max(0, s - 40) : s], stop, p[at], p[at : at + 40], at > e)
-        if score > NEVER:
-            if p[at] in "(（" and not (p[at + 1 : at + 2].isupper() or not p[at + 1 : at + 2].isascii() and p[at + 1 : at + 2].isalpha()):
-                continue  # a bracket that belongs to the words before it
-            ends.append((at, score))
-    if not ends:
-        return [0]
-    # semi-Markov choice of spans: best[j] is the best score of all ways to cut the text before boundary j
-    bounds = [0, *(at for at, _ in ends), n]
-    gain = [0.0, *(score for _, score in ends), 0.0]
-    best, back, since = [0.0] + [NEVER] * (len(bounds) - 1), [0] * len(bounds), 0
+        score = _closing(p[max(0, s - 40) : s], stop, p[at], p[at : at + 40], at > e) if stop.strip() else 3.0
+        if k < len(outer) and outer[k][0] < s and e <= outer[k][1]:
+            score += UNBALANCED  # its closing mark comes later
+        if p[at] in "(（" and not (p[at + 1 : at + 2].isupper() or not p[at + 1 : at + 2].isascii() and p[at + 1 : at + 2].isalpha()):
+            score += UNBALANCED  # a bracket that belongs to the words before it
+        bounds.append(at)
+        gain.append(score)
+    return choose(p, [*bounds, n], [*gain, 0.0])
+
+
+def choose(p: str, bounds: list[int], gain: list[float]) -> list[int]:
+    """Starts of the best sequence of spans between ``bounds``: semi-Markov dynamic programming over whole spans.
+
+    ``best[j]`` is the best score of all ways to cut the text before boundary ``j``. Only spans within ``SHORT`` signs are scored
+    by their words; a longer one by its length, in proportion, so that the best of all longer ones is kept in one running value
+    and the time is linear in the length of the paragraph.
+    """
+    best, back = [0.0] + [NEVER] * (len(bounds) - 1), [0] * len(bounds)
+    first, far, far_from = 0, NEVER, 0  # boundaries before ``first`` lie farther than a short span; ``far``: the best of them
     for j in range(1, len(bounds)):
-        for i in range(j - 1, since - 1, -1):
-            score = best[i] + gain[j] + _span(p, bounds[i], bounds[j])
-            if score > best[j]:
-                best[j], back[j] = score, i
-        if gain[j] >= CUT and back[j] == j - 1:
-            since = j  # an undoubted boundary closes the window, whatever the length of the paragraph
+        while bounds[j] - bounds[first] > SHORT:
+            worth = best[first] + LENGTH * bounds[first]
+            if worth > far:
+                far, far_from = worth, first
+            first += 1
+        top, at = (far - LENGTH * (bounds[j] - SHORT), far_from) if far > NEVER else (NEVER, 0)
+        for i in range(first, j):
+            score = best[i] + _span(p, bounds[i], bounds[j])
+            if score >= top:
+                top, at = score, i
+        best[j], back[j] = top + gain[j], at
     starts, j = [], len(bounds) - 1
     while j > 0:
         j = back[j]
@@ -198,9 +213,7 @@ def _spans(p: str, thai: bool) -> list[int]:
 
 
 def _span(p: str, i: int, j: int) -> float:
-    """Score of the span itself: its length and its opening words together with its closing words."""
-    if j - i > 75:
-        return 0.0
+    """Score of a short span itself: its opening words together with its closing words."""
     s = p[i:j].strip()
     m = LABEL_ONLY.match(s)
     if m and m.end() == len(s):
