@@ -4,13 +4,15 @@ Round trips: what was read under a candidate legacy encoding is encoded with it
 encoding; nested layers are undone one by one; a round trip is accepted when a garbling cost drops.
 
 Two families are tried. (a) UTF-8 read as a single-byte encoding: every maximal multi-byte sequence is decoded on its own, so
-that text garbled only in part is mended and correct signs beside it stay. (b) One single-byte encoding read as another: the
-pair is chosen for the whole text by the summed drop of the cost of its distinct words, and applied word by word. The cost of
-a word counts control signs, signs between letters, letters of no expected alphabet, capitals after small letters, runs of
-accented letters and letters of two alphabets in one word.
-
-Defined results: null and empty text is sound. U+FFFD, or several question marks
-inside words, mark text whose letters are lost: it is reported and left as it is.
+that text garbled only in part is mended and correct signs beside it stay; layers are undone until none is left. (b) One
+single-byte encoding read as another: the pair is chosen for the whole text by the summed drop of the cost of its distinct
+words, and applied word by word. The cost of a word counts control signs, signs between letters, letters of no expected
+alphabet, capitals after small letters, runs of accented letters and letters of two alphabets in one word. Words of a line whose
+letters are all of one alphabet of ``ALPHABETS`` and in whose words no sign is out of place cost nothing: the line is sound,
+whatever its language.
+
+Defined results: null and empty text is sound. U+FFFD, control signs, or several question marks inside words, mark text whose
+letters are lost; no round trip can bring these back, so the text is reported, with ``lost`` in ``repaired_fields``, and left.
 Correct foreign words, units and signs are no case, since no round trip lowers their cost enough.
 """
 
@@ -30,6 +32,14 @@ from ..catalog import newest, table
 PL, CS = "ąćęłńóśźż", "áčďéěíňóřšťúůýž"
 DE, FR = "äöüß", "àâæçéèêëîïôœùûüÿ"
 UK = "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя"
+#: The letters beyond a to z, and the letters of other scripts, that languages are written with.
+ALPHABETS = {
+    "pl": PL, "cs": CS, "sk": "áäčďéíĺľňóôŕšťúýž", "de": DE, "fr": FR, "es": "áéíñóúü", "pt": "àáâãçéêíóôõúü", "it": "àèéìíîòóùú", "ro": "ăâîșțşţ",
+    "hu": "áéíóöőúüű", "hr": "čćđšž", "tr": "âçğıîöşüİ", "sv": "åäöé", "da": "æøåé", "is": "áðéíóúýþæö", "fi": "äöå", "et": "äõöüšž",
+    "lt": "ąčęėįšųūž", "lv": "āčēģīķļņšūž", "nl": "éëïóöüèê", "ca": "àçèéíïòóúü", "sq": "çë",
+    "uk": UK, "ru": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "be": "абвгдеёжзійклмнопрстуўфхцчшыьэюя", "bg": "абвгдежзийклмнопрстуфхцчшщъьюя",
+    "sr": "абвгдђежзијклљмнњопрстћуфхцчџш", "mk": "абвгдѓежзѕијклљмнњопрстќуфхцчџш", "el": "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ",
+}
 LATIN = "".join(sorted(set(PL + CS + DE + FR.replace("æ", "").replace("ÿ", ""))))
 SIGNS = "„”“«»–—…§°№’‘•€\u00a0\u2009\u202f\u2011\U0001f4ce→×−₂"
 GOOD = "".join(sorted(set(LATIN + LATIN.upper().replace("SS", "") + UK + UK.upper() + SIGNS)))
@@ -41,7 +51,7 @@ SUSPECT = rf"[^\x00-\x7f{GOOD}{OTHER}]|[a-zа-яєії{LATIN}][{_UP}]"
 SUSPECT_RE = re.compile(SUSPECT)
 
 #: Encodings under which UTF-8 was read.
-READ_AS = ("cp1252", "cp1250", "latin_1", "iso8859_2", "cp1251", "mac_roman", "cp852", "cp437", "koi8_u", "cp866")
+READ_AS = ("cp1252", "cp1250", "latin_1", "iso8859_2", "cp1251", "mac_roman", "cp852", "cp437", "koi8_u", "cp866", "cp1253", "cp1254", "cp1257")
 #: (written in, read as) for single-byte encodings.
 SINGLE = tuple(
     (a, b)
@@ -53,6 +63,8 @@ SINGLE = tuple(
         "koi8_u": ("cp1251", "cp1252", "latin_1", "cp866", "iso8859_5"),
         "cp866": ("cp1251", "cp1252", "latin_1", "koi8_u", "cp437"),
         "iso8859_5": ("cp1251", "cp1252", "latin_1", "koi8_u"),
+        "cp1253": ("cp1252", "latin_1", "cp1250", "cp1251"),
+        "cp1254": ("cp1252", "latin_1", "cp1250"),
     }.items()
     for b in bs
 )
@@ -80,8 +92,13 @@ MULTI = {e: _sequences(e) for e in READ_AS}
 TABLES = {e: _table(e) for pair in SINGLE for e in pair}
 DECODE = {e: {b: c for c, b in t.items() if not 0x80 <= ord(c) < 0xA0} for e, t in TABLES.items()}
 GOODSET = frozenset(GOOD)
+#: Letters and signs a decoded sequence may hold.
+WRITTEN = GOODSET | frozenset("".join(a + a.upper() for a in ALPHABETS.values())) | frozenset("¿¡ªº±×÷µ¢£¥©®°·¼½¾²³¹ ÿŸßŒœ")
+_ALPHABETS = [(a[0] > "\u036f", frozenset(a + a.upper())) for a in ALPHABETS.values()]
 NESTED = frozenset("".join(c for e in ("cp1252", "cp1250", "latin_1", "iso8859_2") for c in _table(e)))
 CYR = re.compile(r"[Ѐ-ӿ]")
+OTHER_LETTER = re.compile(r"[\u0370-ӿ]")
+GREEK = re.compile(r"[\u0370-\u03ff]")
 WORD = re.compile(r"\S*[^\x00-\x7f\s]\S*")
 SIGN_IN = re.compile(r"[^\W\d_]([^\x00-\x7f\w’‘–—…])(?=[^\W\d_])|[^\W\d_]([¹²³º¼½¾µ])(?=[^\W\d_])")
 SIGN_EDGE = re.compile(r"(?<![^\W_])([¿¶±¹³¼¾£¥¯©®¦¤¬¡º˘ˇ¨´¸·])(?=[^\W\d_]{2})|[^\W\d_]([¿¶±¼¾£¥©®¦¤¬¡˘ˇ¨´¸])(?![\w])")
@@ -90,35 +107,72 @@ UPPER_IN = re.compile(rf"[a-z{LATIN}][{_UP}](?!\w*[A-Z]{{2}})|[а-яєіїґ][А
 ACCENTED = re.compile("[À-ÖØ-ö]?[ß-öø-ÿ]{3,}")
 PL_ONLY, CS_ONLY, DE_ONLY = re.compile("[ąćęłńśźżĄĆĘŁŃŚŹŻ]"), re.compile("[ďěňřšťůýžáíĎĚŇŘŠŤŮÝŽÁÍčČ]"), re.compile("[äöüßâàçèêëîïôœùû]")
 CONTROL = re.compile("[\x80-\x9f�]")
+#: Latin letters beside letters of another alphabet, within a word.
+MIXED = re.compile("[A-Za-zÀ-ɏ][\u0370-ӿ]|[\u0370-ӿ][A-Za-zÀ-ɏ]")
+#: Opening marks of Spanish not at the beginning of a word.
+OPENING = re.compile(r"[^\W_][¿¡]|[¿¡](?![\s¿¡]*[^\W_])")
+LINE = re.compile(r"[^\n.!?]+[\n.!?]*")
+
+
+def misplaced(word: str) -> float:
+    """The part of the cost of a word that no alphabet explains: signs and capitals where none belong."""
+    c = 4.0 * len(CONTROL.findall(word)) + 3.0 * len(SIGN_IN.findall(word)) + 1.6 * len(SIGN_EDGE.findall(word)) + 0.2 * len(FOOT.findall(word))
+    return c + 2.5 * len(UPPER_IN.findall(word))
+
+
+def of_one_alphabet(text: str) -> bool:
+    """Whether all letters of ``text`` beyond a to z belong to one language; those of a script of its own stand in words of that script."""
+    letters = {x for x in text if x > "\x7f" and x.isalpha()}
+    if not letters:
+        return True
+    return any(letters <= a and not (other and MIXED.search(text)) for other, a in _ALPHABETS)
+
+
+def sound(line: str) -> bool:
+    """Whether a line is written in one alphabet without a sign out of place; opening marks ¿ ¡ need their closing ones."""
+    if "¿" in line or "¡" in line:
+        if OPENING.search(line) or line.count("¿") > line.count("?") or line.count("¡") > line.count("!"):
+            return False
+        line = line.replace("¿", "").replace("¡", "")
+    return not CONTROL.search(line) and of_one_alphabet(line) and not any(misplaced(m.group()) for m in WORD.finditer(line))
 
 
 @lru_cache(200_000)
 def cost(word: str) -> float:
     """Garbling cost of one word: 0 for a word of an expected alphabet."""
-    c = 4.0 * len(CONTROL.findall(word)) + 3.0 * len(SIGN_IN.findall(word)) + 1.6 * len(SIGN_EDGE.findall(word)) + 0.2 * len(FOOT.findall(word))
+    c = misplaced(word) + 2.0 * sum(len(x) - 2 for x in ACCENTED.findall(word))
     c += 0.8 * sum(1 for x in word if x.isalpha() and ord(x) > 127 and x not in GOODSET and not "֐" <= x <= "鿿")
-    c += 2.5 * len(UPPER_IN.findall(word)) + 2.0 * sum(len(x) - 2 for x in ACCENTED.findall(word))
     kinds = (PL_ONLY.search(word) is not None) + (CS_ONLY.search(word) is not None) + (DE_ONLY.search(word) is not None)
     if kinds > 1:
         c += 1.5 * (kinds - 1)
-    if CYR.search(word) and re.search("[A-Za-zÀ-ɏ]", word):
+    if MIXED.search(word):
         c += 1.5
     return c
 
 
+@lru_cache(200_000)
+def cost_after(word: str) -> float:
+    """Cost of a mended word: next to nothing, too, if it is written in one alphabet of any language."""
+    c = cost(word)
+    return min(c, misplaced(word) + (0.0 if OTHER_LETTER.search(word) else 0.1)) if c > 0 and of_one_alphabet(word) else c
+
+
 def _utf8(seq: str, t: dict[str, int], left: str, right: str) -> tuple[str, float] | None:
     """``seq`` decoded as UTF-8 with the worth of it, if all its signs are expected or may be a further layer of garbling."""
     try:
         new = bytes(t[c] for c in seq).decode("utf-8")
     except UnicodeDecodeError:
         return None
-    good = sum(1 for c in new if c in GOODSET)
-    if good < len(new) and any(c not in GOODSET and c not in NESTED and c not in "\u00ad²³¹±µ£¥¿¡" for c in new):
+    good = sum(1 for c in new if c in WRITTEN)
+    if good < len(new) and any(c not in WRITTEN and c not in NESTED and c != "\u00ad" for c in new):
         return None
     if CYR.search(new) and (left.isalpha() and ord(left) < 0x250 or right.isalpha() and ord(right) < 0x250):
         return None
-    if CYR.search(seq):  # sequences of Cyrillic letters may be sound words
-        return new, cost(seq) - cost(new) - 0.5 * (len(new) - good)
+    if GREEK.search(new) and (CYR.search(new) or CYR.search(left) or CYR.search(right)):
+        return None
+    if CYR.search(seq):  # sequences of Cyrillic or Greek letters may be sound words
+        before = misplaced(seq) if of_one_alphabet(seq) else cost(seq)
+        return new, before - cost_after(new) - 0.5 * (len(new) - good)
     return new, len(seq) - 1.5 * (len(new) - good)
 
 
@@ -135,10 +189,10 @@ def _apply(text: str, pos: list[int], spans: list[tuple[int, int, str]]) -> tupl
     return "".join(out), where
 
 
-def repair(text: str, layers: int = 4) -> tuple[str, list[int], list[str]]:
+def repair(text: str) -> tuple[str, list[int], list[str]]:
     """The mended text, for each of its signs the position in ``text`` it came from, and the round trips made."""
     pos, made = list(range(len(text))), []
-    for _ in range(layers):
+    while True:  # every layer undone makes the text shorter
         best: list[tuple[int, int, str]] = []
         name, gain = "", 0.5
         for e, (pattern, t) in MULTI.items():
@@ -156,23 +210,33 @@ def repair(text: str, layers: int = 4) -> tuple[str, list[int], list[str]]:
         text, pos = _apply(text, pos, best)
         made.append(f"utf_8<{name}")
     found = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-    odd = {w: c for w in {w for _, _, w in found} if (c := cost(w)) > 0}
+    lines = [m.span() for m in LINE.finditer(text)]
+    ends = [e for _, e in lines]
+    at = {i: min(bisect_right(ends, i), len(ends) - 1) for i, _, _ in found} if ends else {}
+    fine: dict[int, bool] = {}
+    every = {w: c for w in {w for _, _, w in found} if (c := cost(w)) > 0}
+    odd: dict[str, float] = {}  # without the words of sound lines: these do not tell, but are mended with the rest
+    for i, _, w in found:
+        if w in every and w not in odd:
+            k = at.get(i, 0)
+            if k not in fine:
+                fine[k] = bool(lines) and sound(text[lines[k][0] : lines[k][1]])
+            if not fine[k]:
+                odd[w] = every[w]
     if sum(odd.values()) >= 2.5:
         pair, top = None, 0.0
         for a, b in SINGLE:
             total = 0.0
             for w, c in odd.items():
                 x = _convert(w, a, b)
-                total += c - cost(x) if x is not None else 0.0
+                total += c - cost_after(x) if x is not None else 0.0
             if total > top:
                 pair, top = (a, b), total
         if top >= 2.5 and pair:
             new = {w: x for w in {w for _, _, w in found} if (x := _convert(w, *pair)) is not None and x != w}
-            hurt = {w for w in odd if w in new and cost(new[w]) < odd[w]}
-            lines = [m.end() for m in re.finditer(r"[^\n.!?]+[\n.!?]*", text)]
-            at = {i: bisect_right(lines, i) for i, _, _ in found}
+            hurt = {w for w in every if w in new and cost_after(new[w]) < every[w]}
             bad = {at[i] for i, _, w in found if w in hurt}
-            spans = [(i, f, new[w]) for i, f, w in found if w in hurt or w in new and w not in odd and at[i] in bad and _swap(w, new[w])]
+            spans = [(i, f, new[w]) for i, f, w in found if w in hurt or w in new and w not in every and at[i] in bad and _swap(w, new[w])]
             if spans:
                 text, pos = _apply(text, pos, spans)
                 made.append(f"{pair[0]}<{pair[1]}")
@@ -190,15 +254,18 @@ def _convert(word: str, written: str, read: str) -> str | None:
 
 def _swap(old: str, new: str) -> bool:
     """Of words equally plausible before and after, those are changed whose letters become Polish or Cyrillic."""
-    return bool(PL_ONLY.search(new) or CYR.search(new)) and not PL_ONLY.search(old)
+    return bool(PL_ONLY.search(new) or OTHER_LETTER.search(new)) and not PL_ONLY.search(old) and cost_after(new) == 0
 
 
-#: A question mark within a word, left where an encoding had no place for a letter. One may be a missing blank, several are not.
-QUESTION = re.compile(r"\?(?<=[^\W\d_]\?)[a-zß-öø-ÿąćęłńóśźżěřšťůďňžčа-яіїєґ]")
+#: Words with a question mark left where an encoding had no place for a letter. One may be a missing blank, several are not.
+QUESTION = re.compile(r"(?<![^\s„«»“”\"'(\[.,;:])(?=[^\W\d_?]*\?[a-zß-öø-ÿąćęłńóśźżěřšťůďňžčа-яіїєґ])(?:[^\W\d_]|\?(?=[^\W\d_])){4,}(?![=&/@\w])")
 
 
 def questioned(text: str) -> bool:
-    return "?" in text and len(QUESTION.findall(text)) >= 3
+    """Whether letters were lost to question marks: three words with one inside, addresses and formulas apart."""
+    if "?" not in text:
+        return False
+    return sum(len(re.findall(r"\w\?(?=\w)", m.group())) for m in QUESTION.finditer(text)) >= 3
 
 
 def is_garbled(text: str | None) -> bool:
