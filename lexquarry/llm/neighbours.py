@@ -1,11 +1,12 @@
 """Problem 2: the most similar vectors of every vector, as a block matrix join.
 
 Every usable vector is scaled to length one and put into the ``copies`` nearest of a number of cells, whose pivots are a bounded sample
-of the distinct vectors, nearly equal ones left out. Inside a cell, blocks of vectors are quantised to int8 and multiplied tile by tile; the integer products give
+of the distinct vectors, nearly equal ones left out. A cell of more than ``SPLIT`` vectors is divided again around pivots of its own, each of its vectors going to the two nearest, and so on, so that the cells grow in number and not in size. Inside a cell, blocks of vectors are quantised to int8 and multiplied tile by tile; the integer products give
 similarities with a proven quantisation error, so that a pair is left out only if its upper bound is below the threshold.
-Surviving pairs are recomputed in float, and the best k of each vector of a tile are merged with those of its other tiles. Cells keep the work per vector constant as the collection grows; a cell with more rows than
+Surviving pairs are recomputed in float, and the best k of each vector of a tile are merged with those of its other tiles. The work for a vector is that of
+its cells and does not grow with the collection but by a factor of two for each level of cells (one up to some 10^6 vectors, two to 10^9, three to 10^12); a cell with more rows than
 a block is worked off as pairs of blocks in separate tasks, so that none is cut short. Two similar vectors meet if they share
-one of their cells: on the test tables at least 0.997 of the pairs of similarity 0.9 do (see the README).
+one of their cells: of the pairs of similarity 0.9 of the largest test table 0.9997 do with one level and 0.9999 with two (see the README).
 
 Exact copies of a vector are collapsed before the join and expanded afterwards: of a group of any size each member gets its k
 first other members by id, so no work or result is quadratic in the size of a group.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,14 @@ from ..session import cut
 BLOCK = 4096
 #: The float rounding of a product of two unit vectors of a few hundred values.
 ROUNDING = 1e-5
-#: Similarity from which two pivots would build the same cell.
-NEARLY_EQUAL = 0.99
+#: Similarities from which two pivots would build the same cell; the later ones are for cells whose vectors are all alike.
+NEARLY_EQUAL = (0.99, 0.999, 0.9999, 0.999999)
+#: Pivots of one level, vectors that a cell is made for, and the number from which a cell is divided again.
+FAN, TARGET, SPLIT = 1024, 800, 32_768
+#: Rows with the same cell that one task gets when the cell is divided.
+PORTION = 50_000
+#: Digests a task remembers to drop copies early; those it forgot are dropped later.
+REMEMBER = 1_000_000
 
 
 def _usable(column: pa.Array, dimension: int) -> np.ndarray:
@@ -49,6 +57,12 @@ def _unit(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return raw, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def nearest(u: np.ndarray, pivots: np.ndarray, copies: int) -> np.ndarray:
+    """Indexes of the ``copies`` nearest pivots of each row."""
+    c = min(copies, len(pivots))
+    return np.concatenate([np.argpartition(-(u[i : i + 8192] @ pivots.T), c - 1, axis=1)[:, :c] for i in range(0, len(u), 8192)])
+
+
 def _encode(pivots: np.ndarray, copies: int, dimension: int):
     """A digest of group and vector for each row, and the cells of the first row with it in this task."""
 
@@ -59,12 +73,12 @@ def _encode(pivots: np.ndarray, copies: int, dimension: int):
             if not b.num_rows:
                 continue
             raw, u = _unit(b.column("vec"), dimension)
-            near = u.astype(np.float32) @ pivots.T
-            c = min(copies, near.shape[1])
-            cells = np.argpartition(-near, c - 1, axis=1)[:, :c]
+            cells = nearest(u.astype(np.float32), pivots, copies)
             vec = [r.tobytes() for r in raw + np.float32(0)]  # -0.0 becomes 0.0
             keys = [hashlib.blake2b(r, digest_size=12, key=g.encode()[:64]).digest() for r, g in zip(vec, b.column("grp").to_pylist())]
             new = []
+            if len(seen) > REMEMBER:
+                seen.clear()
             for k in keys:
                 new.append(k not in seen)
                 seen.add(k)
@@ -153,14 +167,17 @@ def _smallest(n: int, dimension: int):
 
 def apart(u: np.ndarray, most: int) -> np.ndarray:
     """The first ``most`` of the unit vectors ``u`` that are not nearly equal to one taken before."""
-    taken = np.empty((most, u.shape[1]), u.dtype)
-    n = 0
-    for x in u:
-        if n == most:
+    for bar in NEARLY_EQUAL:
+        taken = np.empty((most, u.shape[1]), u.dtype)
+        n = 0
+        for x in u:
+            if n == most:
+                break
+            if not n or (taken[:n] @ x).max() < bar:
+                taken[n] = x
+                n += 1
+        if n > 1:
             break
-        if not n or (taken[:n] @ x).max() < NEARLY_EQUAL:
-            taken[n] = x
-            n += 1
     return taken[:n]
 
 
@@ -178,28 +195,73 @@ def choose_pivots(vectors: DataFrame, cells: int, dimension: int) -> np.ndarray:
     return apart(_unit(column, dimension)[1].astype(np.float32), cells)
 
 
-def cell_count(rows: int) -> int:
-    """Cells for a collection: about 800 vectors for each, 2,048 at most (then cells hold several blocks)."""
-    return max(8, min(2048, rows // 800))
+def cell_count(rows: int, fan: int = FAN) -> int:
+    """Cells of the first level: about ``TARGET`` vectors for each, ``fan`` at most."""
+    return max(8, min(fan, rows // TARGET))
+
+
+def _unit_of(packed: list[bytes], dimension: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(packed), np.float32).reshape(-1, dimension).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, copies: int = 4, dimension: int = 64) -> DataFrame:
+def divide(placed: DataFrame, size: int, fan: int, dimension: int, copies: int = 2) -> DataFrame:
+    """``cell, key, vec`` with every cell of more than ``size`` rows divided around pivots of its own, level by level.
+
+    The pivots of a cell are drawn from its distinct vectors by their digests (four for each), chosen in one task for each cell
+    and sent only to the portions of that cell. A cell whose vectors are all equal but for rounding stays as it is.
+    """
+    done: list[DataFrame] = []
+    while True:
+        sizes = placed.groupBy("cell").count().where(F.col("count") > size)
+        sizes = cut(sizes.select("cell", F.greatest(F.lit(8), F.least(F.lit(fan), F.ceil(F.col("count") / (TARGET * 4)))).cast("int").alias("m"), F.ceil(F.col("count") / PORTION).cast("int").alias("parts"), "count"))
+        if sizes.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, placed])
+        done.append(placed.join(sizes.select("cell"), "cell", "left_anti"))
+        large = placed.join(sizes, "cell")
+        bits = 1 << 40
+        sample = large.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(bits)) < F.lit(bits) * 4 * F.col("m") / F.col("count")).dropDuplicates(["cell", "key"])
+
+        def choose(key: tuple, t: pa.Table) -> pa.Table:
+            order = np.argsort(t.column("key").to_numpy(zero_copy_only=False))
+            u = _unit_of(t.column("vec").take(pa.array(order)).to_pylist(), dimension)
+            got = apart(u, t.column("m")[0].as_py())
+            n = len(got) > 1
+            return pa.table({"cell": pa.array([key[0].as_py()] * n, pa.int64()), "pivots": pa.array([got.tobytes()] * n, pa.binary()), "parts": pa.array([t.column("parts")[0].as_py()] * n, pa.int32())})
+
+        pivots = cut(sample.select("cell", "key", "vec", "m", "parts").groupBy("cell").applyInArrow(choose, "cell bigint, pivots binary, parts int"))
+        able = pivots.select("cell")
+        done.append(large.join(able, "cell", "left_anti").select("cell", "key", "vec"))
+        rows = large.join(able, "cell", "left_semi").select("cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "vec")
+        sent = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivots")
+
+        def assign(key: tuple, t: pa.Table, p: pa.Table) -> pa.Table:
+            own = np.frombuffer(p.column("pivots")[0].as_py(), np.float32).reshape(-1, dimension) if p.num_rows and t.num_rows else None
+            if own is None:
+                return pa.table({"cell": pa.array([], pa.int64()), "key": pa.array([], pa.binary()), "vec": pa.array([], pa.binary())})
+            near = nearest(_unit_of(t.column("vec").to_pylist(), dimension), own, copies)
+            at = pa.array(np.repeat(np.arange(t.num_rows), near.shape[1]))
+            named = np.full(near.size, key[0].as_py(), np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + near.ravel().astype(np.uint64) + np.uint64(1)
+            return pa.table({"cell": pa.array(named.view(np.int64)), "key": t.column("key").take(at), "vec": t.column("vec").take(at)})
+
+        placed = cut(rows.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(assign, "cell bigint, key binary, vec binary").dropDuplicates(["cell", "key"]))
+
+
+def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, copies: int = 4, dimension: int = 64, fan: int = FAN, split: int = SPLIT) -> DataFrame:
     """``id_a, id_b``: pairs of one ``grp`` with a similarity of at least ``least``, one among the ``k`` best of the other.
 
     ``vectors``: ``grp string, id string, vec array<float>``, an id may be repeated with the same vector.
     """
     spark = vectors.sparkSession
-    cells = cell_count(vectors.count())
-    pivots = choose_pivots(vectors, cells, dimension)
+    pivots = choose_pivots(vectors, cell_count(vectors.count(), fan), dimension)
     if not len(pivots):
         return spark.createDataFrame([], "id_a string, id_b string")
     coded = vectors.mapInArrow(_encode(pivots, copies, dimension), "grp string, id string, key binary, vec binary, cells array<int>").persist()
-    place = F.xxhash64("grp", "cell")
+    place = F.xxhash64("grp", "cell")  # vectors of different groups never meet
     placed = coded.where("cells is not null").select("grp", "key", "vec", F.explode("cells").alias("cell")).select(place.alias("cell"), "key", "vec")
-    sizes = placed.groupBy("cell").count().where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    sizes = sizes.persist()
-    if sizes.count() <= 100_000:  # only cells of several blocks, two numbers each
-        sizes = F.broadcast(sizes)
+    placed = divide(placed, split, fan, dimension)
+    sizes = cut(placed.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     placed = placed.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -230,5 +292,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(similar_pairs(rows).select(F.lit("document_embeddings").alias("tbl"), "id_a", "id_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found}
-ORACLES: dict[str, str] = {}
+def p2_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tbl, values, usable, ids``: how many ids of each table have a vector of how many values, and whether it is usable."""
+    legal = newest(table(spark, sf_dir, "legal_documents").select("id", "updated_at", "embedding"), "id", "updated_at", "embedding")
+    rows = table(spark, sf_dir, "document_embeddings").select("id", "embedding").distinct()
+    both = legal.select(F.lit("legal_documents").alias("tbl"), "id", "embedding").unionByName(rows.select(F.lit("document_embeddings").alias("tbl"), "id", "embedding"))
+    n = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
+    return both.select("tbl", n.alias("values"), F.coalesce((n == 64) & finite, F.lit(False)).alias("usable")).groupBy("tbl", "values", "usable").agg(F.count("*").alias("ids"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_usable": p2_usable}
+ORACLES: dict[str, str] = {
+    "p2_usable": """
+        WITH cur AS (SELECT id, embedding FROM (
+            SELECT id, embedding, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM legal_documents) x WHERE rn = 1),
+        b AS (SELECT 'legal_documents' AS tbl, id, embedding FROM cur UNION ALL
+              SELECT 'document_embeddings', id, any_value(embedding) FROM document_embeddings GROUP BY id)
+        SELECT tbl, CAST(len(embedding) AS INTEGER) AS values, coalesce(len(embedding) = 64
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable,
+            count(*) AS ids FROM b GROUP BY ALL""",
+}
