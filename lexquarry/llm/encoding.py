@@ -285,18 +285,22 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["id", "updated_at", "title", "content"])
 
 
+RESTORED = pa.struct([("restored", pa.string()), ("steps", pa.list_(pa.string())), ("lost", pa.bool_())])
+
+
 def _mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each state and field; without a result where the text is sound."""
     for b in batches:
-        out, at = [], []
-        for k, t in enumerate(b.column("text").to_pylist()):
-            gone = questioned(t)
-            if not gone and not SUSPECT_RE.search(t):
+        out: list[dict | None] = []
+        for t in b.column("text").to_pylist():
+            gone = t is not None and questioned(t)
+            if t is None or not gone and not SUSPECT_RE.search(t):
+                out.append(None)
                 continue
             new, _, made = repair(t)
-            at.append(k)
-            out.append({"restored": new, "steps": made, "lost": gone or "�" in new or CONTROL.search(new) is not None})
-        i = pa.array(at, pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("id").take(i), b.column("field").take(i), pa.array(out, pa.struct([("restored", pa.string()), ("steps", pa.list_(pa.string())), ("lost", pa.bool_())]))], ["id", "field", "r"])
+            lost = gone or "�" in new or CONTROL.search(new) is not None
+            out.append({"restored": new, "steps": made, "lost": lost} if made or lost else None)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("field"), b.column("updated_at"), pa.array(out, RESTORED)], ["id", "field", "updated_at", "r"])
 
 
 def garbled_fields(legal: DataFrame) -> DataFrame:
@@ -308,11 +312,15 @@ def garbled_fields(legal: DataFrame) -> DataFrame:
 
 
 def repaired_fields(legal: DataFrame) -> DataFrame:
-    """``id, field, restored, steps, lost``: the garbled fields of all stored states, mended; ``lost`` where letters are gone for good."""
-    d = legal.select("id", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("content").alias("field"), F.col("content").alias("text")))).alias("x"))
-    d = d.select("id", "x.field", "x.text").where("text is not null")
-    out = d.mapInArrow(_mended, "id string, field string, r struct<restored:string,steps:array<string>,lost:boolean>")
-    return out.select("id", "field", "r.*").where("size(steps) > 0 or lost").distinct()
+    """``id, field, restored, steps, lost``: the garbled fields of the current states, mended; ``lost`` where letters are gone for good.
+
+    Only garbled texts are moved to find the current state.
+    """
+    both = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("title", "content")])
+    d = legal.select("id", "updated_at", F.explode(both).alias("x")).select("id", "updated_at", "x.field", "x.text")
+    out = d.mapInArrow(_mended, f"id string, field string, updated_at {dict(legal.dtypes)['updated_at']}, r struct<restored:string,steps:array<string>,lost:boolean>")
+    kept = out.groupBy("id", "field").agg(F.max(F.struct("updated_at", "r")).alias("k"))
+    return kept.where("k.r is not null").select("id", "field", "k.r.*")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,26 +255,24 @@ def similar_ids(texts: DataFrame, width: int = 3, least: float = 0.7, orders: in
     return across.unionByName(within).unionByName(star)
 
 
-def groups(ids: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def groups(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id, class_id, group_id, links``: the class of equal sets, the group of linked classes, and the links of the class.
 
-    Groups are the connected components of the classes, by repeated adoption of the smallest neighbouring label. A text with an
-    empty set is a class and a group of its own.
+    Groups are the connected components of the classes: labels are taken from the smallest neighbour and doubled along the chain
+    of labels until none changes, some log2 of the longest chain of rounds. A text with an empty set is a class and a group of its own.
     """
     names = ids.where("key is not null").groupBy("key").agg(F.min("id").alias("class_id"))
     edges = pairs.join(names.select(F.col("key").alias("ka"), F.col("class_id").alias("a")), "ka").join(names.select(F.col("key").alias("kb"), F.col("class_id").alias("b")), "kb")
     edges = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut(edges.groupBy("a").agg(F.count("*").alias("links"), F.least("a", F.min("b")).alias("g")))
-    for _ in range(rounds):
+    while True:
         far = edges.join(label.select(F.col("a").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("h"))
         jump = label.select(F.col("a").alias("g"), F.col("g").alias("j"))
         after = label.join(far, "a").join(jump, "g").select("a", "links", F.least("g", "h", "j").alias("g2"), (F.least("g", "h", "j") < F.col("g")).alias("moved"))
-        after = cut(after)
+        after = cut(after, fresh=True)
         label = after.select("a", "links", F.col("g2").alias("g"))
-        if after.where("moved").limit(1).count() == 0:
+        if after.where("moved").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     out = ids.join(names, "key", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(label.withColumnRenamed("a", "class_id"), "class_id", "left")
     return out.select("id", "class_id", F.coalesce("g", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

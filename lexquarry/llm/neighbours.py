@@ -36,6 +36,7 @@ ROUNDING = 1e-5
 NEARLY_EQUAL = (0.99, 0.999, 0.9999, 0.999999)
 #: Pivots of one level, vectors that a cell is made for, and the number from which a cell is divided again.
 FAN, TARGET, SPLIT = 1024, 800, 32_768
+LEVELS = 6
 #: Rows with the same cell that one task gets when the cell is divided.
 PORTION = 50_000
 #: Digests a task remembers to drop copies early; those it forgot are dropped later.
@@ -166,7 +167,11 @@ def _smallest(n: int, dimension: int):
 
 
 def apart(u: np.ndarray, most: int) -> np.ndarray:
-    """The first ``most`` of the unit vectors ``u`` that are not nearly equal to one taken before."""
+    """The first ``most`` of the unit vectors ``u`` that are not nearly equal to one taken before.
+
+    Where that leaves less than half of those wanted, vectors closer to each other are taken too.
+    """
+    best = u[:0]
     for bar in NEARLY_EQUAL:
         taken = np.empty((most, u.shape[1]), u.dtype)
         n = 0
@@ -176,9 +181,11 @@ def apart(u: np.ndarray, most: int) -> np.ndarray:
             if not n or (taken[:n] @ x).max() < bar:
                 taken[n] = x
                 n += 1
-        if n > 1:
+        if n > len(best):
+            best = taken[:n]
+        if 2 * n >= most:
             break
-    return taken[:n]
+    return best
 
 
 def choose_pivots(vectors: DataFrame, cells: int, dimension: int) -> np.ndarray:
@@ -210,15 +217,16 @@ def divide(placed: DataFrame, size: int, fan: int, dimension: int, copies: int =
     """``cell, key, vec`` with every cell of more than ``size`` rows divided around pivots of its own, level by level.
 
     The pivots of a cell are drawn from its distinct vectors by their digests (four for each), chosen in one task for each cell
-    and sent only to the portions of that cell. A cell whose vectors are all equal but for rounding stays as it is.
+    and sent only to the portions of that cell. A cell with fewer than four pivots (its vectors are equal but for rounding), or one
+    still large after ``LEVELS``, stays as it is and is worked off as pairs of blocks.
     """
     done: list[DataFrame] = []
-    while True:
+    for level in range(LEVELS + 1):
         sizes = placed.groupBy("cell").count().where(F.col("count") > size)
-        sizes = cut(sizes.select("cell", F.greatest(F.lit(8), F.least(F.lit(fan), F.ceil(F.col("count") / (TARGET * 4)))).cast("int").alias("m"), F.ceil(F.col("count") / PORTION).cast("int").alias("parts"), "count"))
-        if sizes.isEmpty():
+        sizes = cut(sizes.select("cell", F.greatest(F.lit(8), F.least(F.lit(fan), F.ceil(F.col("count") / (TARGET * 4)))).cast("int").alias("m"), F.ceil(F.col("count") / PORTION).cast("int").alias("parts"), "count"), fresh=True)
+        if level == LEVELS or sizes.isEmpty():
             return reduce(DataFrame.unionByName, [*done, placed])
-        done.append(placed.join(sizes.select("cell"), "cell", "left_anti"))
+        done.append(cut(placed.join(sizes.select("cell"), "cell", "left_anti"), fresh=True))
         large = placed.join(sizes, "cell")
         bits = 1 << 40
         sample = large.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(bits)) < F.lit(bits) * 4 * F.col("m") / F.col("count")).dropDuplicates(["cell", "key"])
@@ -227,10 +235,10 @@ def divide(placed: DataFrame, size: int, fan: int, dimension: int, copies: int =
             order = np.argsort(t.column("key").to_numpy(zero_copy_only=False))
             u = _unit_of(t.column("vec").take(pa.array(order)).to_pylist(), dimension)
             got = apart(u, t.column("m")[0].as_py())
-            n = len(got) > 1
+            n = len(got) >= 4
             return pa.table({"cell": pa.array([key[0].as_py()] * n, pa.int64()), "pivots": pa.array([got.tobytes()] * n, pa.binary()), "parts": pa.array([t.column("parts")[0].as_py()] * n, pa.int32())})
 
-        pivots = cut(sample.select("cell", "key", "vec", "m", "parts").groupBy("cell").applyInArrow(choose, "cell bigint, pivots binary, parts int"))
+        pivots = cut(sample.select("cell", "key", "vec", "m", "parts").groupBy("cell").applyInArrow(choose, "cell bigint, pivots binary, parts int"), fresh=True)
         able = pivots.select("cell")
         done.append(large.join(able, "cell", "left_anti").select("cell", "key", "vec"))
         rows = large.join(able, "cell", "left_semi").select("cell", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "vec")
@@ -245,7 +253,7 @@ def divide(placed: DataFrame, size: int, fan: int, dimension: int, copies: int =
             named = np.full(near.size, key[0].as_py(), np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + near.ravel().astype(np.uint64) + np.uint64(1)
             return pa.table({"cell": pa.array(named.view(np.int64)), "key": t.column("key").take(at), "vec": t.column("vec").take(at)})
 
-        placed = cut(rows.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(assign, "cell bigint, key binary, vec binary").dropDuplicates(["cell", "key"]))
+        placed = cut(rows.groupBy("cell", "part").cogroup(sent.groupBy("cell", "part")).applyInArrow(assign, "cell bigint, key binary, vec binary").dropDuplicates(["cell", "key"]), fresh=True)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, copies: int = 4, dimension: int = 64, fan: int = FAN, split: int = SPLIT) -> DataFrame:

@@ -106,8 +106,12 @@ def fillings(values: list[int], count: dict[int, int], room: int, width: int = 3
     return found or [(room, [])]
 
 
-def complete(sizes: list[int], capacity: int, budget: int = 400) -> list[list[int]]:
-    """Bin completion of items of ``sizes`` (each at most ``capacity``); containers as lists of positions."""
+def complete(sizes: list[int], capacity: int, budget: int = 400, width: int = 3, nodes: int = 400) -> list[list[int]]:
+    """Bin completion of items of ``sizes`` (each at most ``capacity``); containers as lists of positions.
+
+    The search ends when the least possible number of containers is reached, all branches are tried, or after ``budget``
+    backtracks with the best found so far; ``width`` and ``nodes`` bound the fillings tried of one container.
+    """
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     ranked = [sizes[i] for i in order]
     first = best_fit(ranked, capacity)
@@ -148,7 +152,7 @@ def complete(sizes: list[int], capacity: int, budget: int = 400) -> list[list[in
                     continue
                 top = values[-1]
                 take([top])
-                options = fillings(values, count, capacity - top)
+                options = fillings(values, count, capacity - top, width, nodes)
                 stack.append(([top], options[1:]))
                 w, items = options[0]
             else:
@@ -183,30 +187,35 @@ def complete(sizes: list[int], capacity: int, budget: int = 400) -> list[list[in
     return [b for b in out if b]
 
 
-def _pack(key: tuple, t: pa.Table) -> pa.Table:
-    capacity = key[1].as_py()
-    sizes = t.column("tokens").to_pylist()
-    where, fill = [0] * len(sizes), [0] * len(sizes)
-    bins = complete(sizes, capacity)
-    if "old" in t.schema.names:  # emptied containers: what they held stays together unless fewer are needed now
-        old: dict[str, list[int]] = {}
-        for i, o in enumerate(t.column("old").to_pylist()):
-            old.setdefault(o, []).append(i)
-        if len(old) <= len(bins):
-            bins = list(old.values())
-    for k, b in enumerate(bins):
-        full = sum(sizes[i] for i in b)
-        for i in b:
-            where[i], fill[i] = k, full
-    out = {c: t.column(c) for c in ("doc_id", "part", "tokens")}
-    n = len(sizes)
-    return pa.table({"capacity_name": pa.array([key[0].as_py()] * n), "capacity_tokens": pa.array([capacity] * n, pa.int64()), "block": pa.array([key[2].as_py()] * n, pa.int32()), **out, "bin": pa.array(where, pa.int32()), "fill": pa.array(fill, pa.int64())})
-
-
-def pack(sized: DataFrame, capacities: DataFrame, good: float = 0.985) -> DataFrame:
+def _pack(budget: int, width: int, nodes: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        capacity = key[1].as_py()
+        sizes = t.column("tokens").to_pylist()
+        where, fill = [0] * len(sizes), [0] * len(sizes)
+        bins = complete(sizes, capacity, budget, width, nodes)
+        if "old" in t.schema.names:  # emptied containers: what they held stays together unless fewer are needed now
+            old: dict[str, list[int]] = {}
+            for i, o in enumerate(t.column("old").to_pylist()):
+                old.setdefault(o, []).append(i)
+            if len(old) <= len(bins):
+                bins = list(old.values())
+        for k, b in enumerate(bins):
+            full = sum(sizes[i] for i in b)
+            for i in b:
+                where[i], fill[i] = k, full
+        out = {c: t.column(c) for c in ("doc_id", "part", "tokens")}
+        n = len(sizes)
+        return pa.table({"capacity_name": pa.array([key[0].as_py()] * n), "capacity_tokens": pa.array([capacity] * n, pa.int64()), "block": pa.array([key[2].as_py()] * n, pa.int32()), **out, "bin": pa.array(where, pa.int32()), "fill": pa.array(fill, pa.int64())})
+
+    return run
+
+
+def pack(sized: DataFrame, capacities: DataFrame, good: float = 0.985, budget: int = 400, width: int = 3, nodes: int = 400) -> DataFrame:
     """``capacity_name, container, doc_id, part, tokens, fill``: every item in one container of each capacity.
 
     ``sized``: ``doc_id, tokens``. ``capacities`` is the fixed table of capacities. ``container`` is unique in its capacity.
+    ``budget``, ``width`` and ``nodes`` bound the search in a block (see ``complete``): more of each costs time and saves
+    containers where sizes leave gaps; no item is ever left out.
     """
     kind = dict(sized.dtypes)["doc_id"]
     sized = cut(sized.where("tokens is not null"))
@@ -221,14 +230,14 @@ def pack(sized: DataFrame, capacities: DataFrame, good: float = 0.985) -> DataFr
     whole = items.where("tokens = capacity_tokens").select("capacity_name", F.concat_ws("-", F.lit("w"), "doc_id", "part").alias("container"), "doc_id", "part", "tokens", F.col("tokens").alias("fill"))
     loose = items.where("tokens < capacity_tokens").withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.lit(blocks)).cast("int"))
     schema = f"capacity_name string, capacity_tokens bigint, block int, doc_id {kind}, part int, tokens bigint, bin int, fill bigint"
-    keys = ["capacity_name", "capacity_tokens", "block"]
-    packed = cut(loose.select(*keys, "doc_id", "part", "tokens").groupBy(*keys).applyInArrow(_pack, schema))
+    keys, search = ["capacity_name", "capacity_tokens", "block"], _pack(budget, width, nodes)
+    packed = cut(loose.select(*keys, "doc_id", "part", "tokens").groupBy(*keys).applyInArrow(search, schema))
     kept = packed.where(F.col("fill") >= good * F.col("capacity_tokens"))
     again = packed.where(F.col("fill") < good * F.col("capacity_tokens"))
     share = max(1, blocks // 16)
     again = again.withColumn("old", F.concat_ws("-", "block", "bin")).withColumn("block", F.pmod(F.xxhash64("block"), F.lit(share)).cast("int"))
     again = again.select(*keys, "doc_id", "part", "tokens", "old")
-    again = again.groupBy(*keys).applyInArrow(_pack, schema)
+    again = again.groupBy(*keys).applyInArrow(search, schema)
     name = lambda r: F.concat_ws("-", F.lit(r), "block", "bin").alias("container")
     cols = ["doc_id", "part", "tokens", "fill"]
     return whole.unionByName(kept.select("capacity_name", name("a"), *cols)).unionByName(again.select("capacity_name", name("b"), *cols))

@@ -51,6 +51,50 @@ def test_sentences(text, wanted):
     assert cut(text) == wanted
 
 
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ("El Sr. García llegó. ¿Cómo está usted? ¡Muy bien!", 3), ("Los EE. UU. son grandes. Otra frase.", 2), ("Ο κ. Παπαδόπουλος ήρθε. Η συνεδρίαση άρχισε. Τέλος.", 3),
+        ("Բարև։ Ինչպես եք։ Լավ։", 3), ("ሰላም ነው። እንዴት ነህ። ደህና።", 3), ("Termin upływa dnia 23 marca 2010 r. Od dnia 19 czerwca 2022 r. Prezes Urzędu prowadzi wykaz.", 2),
+        ("Rzekł: „Raz. Dwa. Trzy.” i wyszedł. Koniec (zob. str. 5. Uwaga.) tu.", 2),
+    ],
+)
+def test_sentences_of_more_languages(text, n):
+    assert len(cut(text)) == n
+
+
+def test_sentences_of_a_long_paragraph_take_linear_time():
+    # with doubtful boundaries only, no boundary closes the search
+    short, long = (sentences.sentence_starts("Zapis z 2020. " * n) for n in (1000, 100_000))
+    assert len(short) == 1000 and len(long) == 100_000
+
+
+def best_spans(p, bounds, gain):
+    """All ways to cut, by brute force."""
+    best, top = None, None
+    inner = range(1, len(bounds) - 1)
+    for mask in range(1 << len(inner)):
+        at = [0, *[k for k in inner if mask >> (k - 1) & 1], len(bounds) - 1]
+        score = 0.0
+        for i, j in zip(at, at[1:]):
+            n = bounds[j] - bounds[i]
+            score += gain[j] + (sentences._span(p, bounds[i], bounds[j]) if n <= sentences.SHORT else -sentences.LENGTH * (n - sentences.SHORT))
+        if top is None or score > top + 1e-12:
+            best, top = at, score
+    return top
+
+
+def test_choice_of_spans_is_the_best_one():
+    rng = random.Random(4)
+    for _ in range(60):
+        p = "".join(rng.choice("ab .1r") for _ in range(400))
+        bounds = [0, *sorted(rng.sample(range(1, 399), 8)), 400]
+        gain = [0.0, *[rng.choice([-12.0, -1.0, 0.5, 1.5, 4.0]) for _ in range(8)], 0.0]
+        starts = [*sentences.choose(p, bounds, gain), 400]
+        score = sum(gain[bounds.index(j)] + (sentences._span(p, i, j) if j - i <= sentences.SHORT else -sentences.LENGTH * (j - i - sentences.SHORT)) for i, j in zip(starts, starts[1:]))
+        assert abs(score - best_spans(p, bounds, gain)) < 1e-9
+
+
 def test_sentences_partition_the_text():
     random.seed(1)
     for _ in range(200):
@@ -103,7 +147,7 @@ def test_neighbours(spark):
 
 
 def test_neighbours_beside_a_hot_vector(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "cell_count", lambda rows: 2048)
+    monkeypatch.setattr(neighbours, "cell_count", lambda rows, fan: 2048)
     rng = np.random.default_rng(5)
     hot = rng.normal(size=64)
     hot /= np.linalg.norm(hot)
@@ -117,12 +161,39 @@ def test_neighbours_beside_a_hot_vector(spark, monkeypatch):
     want = {(f"near-{i:03d}-0", f"near-{i:03d}-1") for i in range(150)}
     assert len(want & got) >= 0.99 * len(want)
     pivots = neighbours.choose_pivots(d, 2048, 64)
-    assert len(pivots) == 2048 and (np.triu(pivots @ pivots.T, 1) < neighbours.NEARLY_EQUAL).all()
+    assert len(pivots) == 2048 and (np.triu(pivots @ pivots.T, 1) < neighbours.NEARLY_EQUAL[0]).all()
 
 
 def test_nearly_equal_pivots_are_dropped():
     u = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2]]
     assert neighbours.apart(u, 4).tolist() == np.eye(4)[[0, 1, 2]].tolist() and len(neighbours.apart(u, 2)) == 2
+    v = np.float32([[1, 0], [0.9999, 0.01], [0.9996, 0.03], [0.999, 0.045]])
+    assert len(neighbours.apart(v / np.linalg.norm(v, axis=1)[:, None], 4)) == 3
+
+
+def test_cells_of_several_levels(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(1500, 64))
+    rows = [("", f"{c:04d}-{j}", (base[c] + rng.normal(size=64) * 0.15).astype(np.float32).tolist()) for c in range(1500) for j in range(2)]
+    rows += [("", f"hot-{j:04d}", base[0].astype(np.float32).tolist()) for j in range(800)]
+    d = spark.createDataFrame(rows, "grp string, id string, vec array<float>").repartition(6)
+    one = {tuple(r) for r in neighbours.similar_pairs(d).collect()}
+    many = {tuple(r) for r in neighbours.similar_pairs(d, fan=8, split=300).collect()}
+    assert len(one) > 2000 and len(many & one) >= 0.99 * len(one) and not many - one
+
+
+def test_cells_do_not_grow_with_the_rows(spark):
+    largest = []
+    for n in (4000, 16000):
+        rng = np.random.default_rng(n)
+        rows = [(i % 4, i.to_bytes(12, "big"), rng.normal(size=16).astype(np.float32).tobytes()) for i in range(n)]
+        placed = spark.createDataFrame(rows, "cell bigint, key binary, vec binary")
+        out = neighbours.divide(placed, 600, 8, 16)
+        assert out.select("key").distinct().count() == n
+        largest.append(out.groupBy("cell").count().agg(F.max("count")).collect()[0][0])
+    assert max(largest) <= 600
+    same = spark.createDataFrame([(1, i.to_bytes(12, "big"), np.ones(16, np.float32).tobytes()) for i in range(900)], "cell bigint, key binary, vec binary")
+    assert neighbours.divide(same, 600, 8, 16).count() == 900
 
 
 def test_quantisation_bound():
@@ -147,14 +218,21 @@ def test_tiles_of_several_blocks(monkeypatch, spark):
 # 3
 
 
-@pytest.mark.parametrize("limit, overlap", [(50, 0), (50, 12), (7, 3), (1, 0)])
+@pytest.mark.parametrize("limit, overlap", [(50, 0), (50, 12), (50, 40), (50, 49), (7, 3), (1, 0)])
 def test_pieces(limit, overlap):
     texts = ["Ala ma kota. Kot ma Alę.\n\nI tak dalej, i tak dalej. " * 9, "x" * 333, " " * 120 + "a", "żółć 😀 " * 40]
     for t, pieces in zip(texts, splitting.split_batch(texts, [limit] * 4, [overlap] * 4)):
         assert pieces[0]["start_pos"] == 0 and pieces[-1]["end_pos"] == len(t)
         assert all(0 < p["end_pos"] - p["start_pos"] <= limit for p in pieces)
         for a, b in zip(pieces, pieces[1:]):
-            assert a["end_pos"] - b["start_pos"] == overlap and b["end_pos"] > a["end_pos"]
+            assert a["end_pos"] - b["start_pos"] == min(overlap, a["end_pos"]) and b["end_pos"] > a["end_pos"]
+
+
+def test_long_and_short_texts_together():
+    texts = ["Zdanie jest tu. " * 20_000, *["Krótki tekst. Jeszcze jeden." for _ in range(2000)]]
+    got = splitting.split_batch(texts, [20] * 2001, [0] * 2001)
+    assert len(got[0]) >= 20_000 and all(g == got[1] for g in got[1:]) and len(got[1]) == 2
+    assert [p["end_pos"] for p in splitting.split_batch(texts[:1], [20], [0])[0]] == [p["end_pos"] for p in got[0]]
 
 
 def test_pieces_like_greedy():
@@ -218,6 +296,48 @@ def test_sound_text(sound):
     assert not encoding.is_garbled(sound) and encoding.repair(sound)[0] == sound
 
 
+SOUND = {
+    "ru": "Болгария объявил съезд. Россия, ё, ы, э. Подъезд этого дома объявлен рёбрами, съёмка.", "bg": "България обяви събор. Този път е дълъг.",
+    "es": "¿Cómo está usted? ¡Muy bien! El señor Núñez vive en España, año tras año.", "pt": "A nação não está em São Paulo; informações são úteis.",
+    "tr": "Şu anda yağmur yağıyor, çığlık atan kuşlar ağaçlarda.", "el": "Αυτή είναι μια χώρα στην Ευρώπη. Άλλη μία πρόταση εδώ.",
+    "ro": "Această școală este în București, iar țăranii și învățătorii sunt mulțumiți.", "hu": "Árvíztűrő tükörfúrógép, őszi idő.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SOUND))
+def test_other_languages(lang):
+    x = SOUND[lang]
+    assert not encoding.is_garbled(x) and encoding.repair(x)[0] == x and sentences._starts(x) == sentences.sentence_starts(x)
+    for read in ("cp1252", "cp1251"):
+        g = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in x.encode())
+        assert encoding.is_garbled(g) and encoding.repair(g)[0] == x
+
+
+@pytest.mark.parametrize("lang, written, read", [("ru", "cp1251", "cp1252"), ("ru", "koi8_u", "cp1251"), ("bg", "cp1251", "cp1252"), ("hu", "cp1250", "cp1252"), ("tr", "cp1254", "cp1252"), ("el", "cp1253", "cp1252")])
+def test_other_code_pages(lang, written, read):
+    x = SOUND[lang]
+    g = x.encode(written).decode(read)
+    assert encoding.is_garbled(g) and encoding.repair(g)[0] == x
+
+
+def test_question_marks_for_letters():
+    assert encoding.questioned("kt?ry by? w?r?d nich pa?stwo") and not encoding.questioned("a=b&c?d=e x?y f?g") and not encoding.questioned("Co? Kto? Gdzie? http://x.pl/ab?cdef=g&hi?jklm=n")
+
+
+def test_layers_are_all_undone():
+    g = "zażółć gęślą jaźń"
+    for _ in range(6):
+        g = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in g.encode())
+    assert encoding.repair(g)[0] == "zażółć gęślą jaźń"
+
+
+def test_repaired_fields_are_current(spark):
+    bad = "za\u00c5\u00bc\u00c3\u00b3\u00c5\u201a\u00c4\u2021 g\u00c4\u2122\u00c5\u203al\u00c4\u2026"
+    d = legal(spark, ("a", "t", bad), ("a", "t", "sound", {"updated_at": T1}), ("b", "t", "sound"), ("b", "t", bad, {"updated_at": T1}), ("b", "t", bad, {"updated_at": T1}), ("c", None, None))
+    got = [(r.id, r.field, r.restored, r.lost) for r in encoding.repaired_fields(d).collect()]
+    assert got == [("b", "content", "zażółć gęślą", False)]
+
+
 def test_garbled_fields(spark):
     bad = PHRASE.encode().decode("cp1250", "replace")
     d = legal(spark, ("a", PHRASE, "opÅ‚ata"), ("a", PHRASE, "opłata", {"updated_at": T1}), ("b", "zak³adu spo³ecznego", None), ("c", None, "ust�pienie"), ("d", "rolnej?nie", ""), ("f", "x", "rejst?íku zem?d?lského"), ("e", "x", bad))
@@ -272,6 +392,14 @@ def test_groups_and_blocks(spark, monkeypatch):
     assert got["z"].class_id == got["z"].group_id == "z" and len(got) == 9
 
 
+def test_groups_of_a_long_chain(spark):
+    n = 3000  # a chain of classes, each linked to the next
+    ids = spark.createDataFrame([(f"{i:05d}", f"{i:05d}".encode()) for i in range(n)], "id string, key binary")
+    pairs = spark.createDataFrame([(f"{i:05d}".encode(), f"{i + 1:05d}".encode()) for i in range(n - 1)], "ka binary, kb binary")
+    got = near_copies.groups(ids, pairs).collect()
+    assert {r.group_id for r in got} == {"00000"} and len(got) == n
+
+
 def test_bit_bound_is_never_too_low():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -298,7 +426,8 @@ Organ budowlanego zakładu prowadzi bud0wlanego clane.
 
 def test_scans(spark):
     filler = "\n".join(["budowlanego zakładu środków handlowo-usługowego portu dane organ właściwy"] * 12)
-    d = legal(spark, ("a", "Tytuł", "", {"pdf_extracted_text": PAGES}), ("b", "t", "", {"pdf_raw_content": bytearray(filler.encode())}), ("c", None, None), ("d", "t", "", {"pdf_extracted_text": ""}))
+    d = legal(spark, ("a", "Tytuł", "", {"pdf_extracted_text": PAGES}), ("b", "t", "", {"pdf_raw_content": bytearray(filler.encode())}), ("c", None, None), ("d", "t", "", {"pdf_extracted_text": ""}),
+              *[(f"p{k}", "t", "", {"pdf_extracted_text": f"Monitor Polski  – {k} –  Poz. 7\ntekst i dalej\n"}) for k in range(5)])
     got = {(r.kind, r.line_no): r for r in scans.scan_noise(d).where("id = 'a'").collect()}
     assert {k for k in got if k[0] == "furniture"} == {("furniture", i) for i in (1, 5, 7, 9)}
     assert {k for k in got if k[0] == "hyphen"} == {("hyphen", 2)}
@@ -338,6 +467,27 @@ def test_repeated_edge_lines_are_furniture():
     assert scans.furniture(lines, None) == {0, 4, 8} and scans.furniture(lines[:7], None) == set()
 
 
+def test_running_lines_of_the_corpus(spark):
+    texts = [f"Acme Annual Report 2023 | page {7 + k}\nThe words of text {k} go on here\nand end here." for k in range(6)]
+    d = legal(spark, *[(f"d{k}", None, "c", {"pdf_extracted_text": t}) for k, t in enumerate(texts)], ("x", None, "c", {"pdf_extracted_text": "Art. 5.\nTekst.\nArt. 6.\nTekst.\nArt. 7.\nTekst."}))
+    got = {(r.id, r.line_no) for r in scans.scan_noise(d).where("kind = 'furniture'").collect()}
+    assert got == {(f"d{k}", 1) for k in range(6)}
+
+
+def test_running_lines_of_one_text():
+    lines = "Acme Annual Report 2023 | page 7\none\ntwo\n\f\nAcme Annual Report 2023 | page 8\nthree\nfour\n\f\nAcme Annual Report 2023 | page 9\nfive\nsix".split("\n")
+    assert scans.furniture(lines, None) == {0, 4, 8}
+
+
+def test_templates_set_misread_signs_equal():
+    assert scans.template("DZIENNIK USTAW – 84 – Poz. 705") == scans.template("DZIENN!K U5TAW – 8S – P0z. 112") != scans.template("Druk nr 4")
+    assert scans.template("bez liczby") is None and scans.template("– 12 –") is None
+
+
+def test_numbers_of_provisions_are_sound():
+    assert [w for w, *_ in scans.analyse("Art. 2a. Tekst 2a tu", None)[2]] == ["Art", "Tekst", "2a", "tu"]
+
+
 def test_anagram_difference():
     for wrong, right, diff in scans.differences():
         assert scans.anagram("a" + right + "b") - scans.anagram("a" + wrong + "b") == diff
@@ -393,6 +543,13 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0), t).count() == 0
 
 
+def test_copies_in_many_rows(spark):
+    rows = [(i, "a", 5, "hot" if i < 4000 else f"d{i // 2}") for i in range(6001)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, digest string")
+    got = {r.doc_id: r.c for r in mixing.with_copies(d).collect()}
+    assert len(got) == 6001 and got[0] == 4000 and got[4000] == 2 and got[6000] == 1
+
+
 # 9
 
 
@@ -422,26 +579,50 @@ def test_cut_texts(spark, corpus):
 
 def test_contexts_are_counted_exactly(spark):
     rng = random.Random(8)
-    texts = ["".join(rng.choice("abcdef .") for _ in range(3000)) for _ in range(200)]  # more contexts than a hashed table of 2 ** 18 holds apart
-    ends = ["abc de", "fa.bcd", "cafe bad", "abcdefabcde"]
-    keys = {k for x in ends for k in cut_texts._ends(x) if k is not None}
+    texts = list(dict.fromkeys("".join(rng.choice("abcdef .") for _ in range(2000)).strip() for _ in range(150)))
+    ends = ["abc de", "fa.bcd", "cafe bad", "abcdefabcdefabcdefab"]
+    asked = dict(zip(ends, cut_texts.contexts(ends)))
     d = spark.createDataFrame([(t,) for t in texts + ends], "text string").repartition(3)
-    got = {r.key: (r.inside, r.outside, r.ends, r.stops) for r in cut_texts.train(d, spark.createDataFrame([(k,) for k in keys], "key bigint")).collect()}
-    for x in ends:
-        for n, key in zip(cut_texts.ORDERS, cut_texts._ends(x)):
-            if key is None:
-                continue
-            want = [0, 0, 0, 0]
-            for t in map(str.rstrip, texts + ends):
-                t = "\0" * 11 + t
-                for i in range(n, len(t) + 1):
-                    if t[i - n : i] == x[-n:]:
-                        after = t[i : i + 1]
-                        want[0 if after.isalnum() else 1 if after else 2] += 1
-                        want[3] += after == "."
+    keys = spark.createDataFrame([(k,) for k in {k for x in asked.values() for k in x}], "key bigint")
+    got = {r.key: (r.seen, r.ends, r.stops) for r in cut_texts.train(d, keys).collect()}
+    every = [t for t in texts + ends if cut_texts.parts(t)[0] == "end"]
+    assert len(every) == len(texts) + len(ends)
+    total = sum(map(len, every))
+    assert got[cut_texts.EMPTY] == (total, len(every), sum(t[1:].count(".") for t in every))
+    for x, keys in asked.items():
+        for n, key in zip(cut_texts.ORDERS, keys):
+            want = [0, 0, 0]
+            for t in every:
+                t = "\0" * 18 + t
+                for i in range(19, len(t) + 1):
+                    if t[i - n : i] == ("\0" * n + x)[-n:]:
+                        want[0] += 1
+                        want[1] += i == len(t)
+                        want[2] += t[i : i + 1] == "."
             assert got[key] == tuple(want)
 
 
+def test_without_the_model_nothing_is_cut():
+    (case, _), *_ = cut_texts.cases_of(["Rada gminy może zwolnić od portu.\n\nKwarantanna obej"], [False])
+    assert cut_texts.log_odds(case, {}) == 0.0
+
+
+def test_threshold_parts_cuts_from_ends():
+    assert abs(cut_texts.threshold({-12: 6, 12: 94}, {-12: 100})) < 0.5  # a few true cuts among the ends do not matter
+    assert -1 <= cut_texts.threshold({4: 50, 8: 50}, {-8: 50, -4: 50}) <= 1
+    assert cut_texts.threshold({}, {}) == 0.0
+
+
+@pytest.mark.parametrize("text, rest, marked", [("Organ pro [...]", "Organ pro", True), ("Organ pro…]", "Organ pro", True), ("a b&nbs", "a b", True), ("koniec.", "koniec.", False), ("i in…", "i in…", False), ("do …", "do", True), ("tekst <br", "tekst", True)])
+def test_marks_of_omission(text, rest, marked):
+    assert cut_texts.stripped(text) == (rest, marked)
+
+
+def test_stops_in_quotations_are_other_signs():
+    assert cut_texts.signs("Rzekł: „Raz. Dwa.” Koniec.") == "rzekł: „raz\x01 dwa\x01” koniec."
+    assert cut_texts.signs('Er: "A. B." C.\nD.') == 'er: "a\x01 b\x01" c.\nd.' and len(cut_texts.signs("İİ.")) == 3
+
+
 def test_copies_of_a_cut_text_are_cut(spark, corpus):
     copies = ["Rada gminy może zwolnić od portu.\n\nKwarantanna obej", "Organ prowadzi wykaz lasu.\n\nZwykłe przesłanki odmo"]
     rows = [(i, "a", t) for i, t in enumerate(corpus)] + [(1000 + 100 * j + i, "b", t + " " * (i % 2)) for j, t in enumerate(copies) for i in range(80)]
