@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -26,17 +28,33 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the session's ``spark.checkpoint.dir``, else (local tests) one of our own."""
+    """The shared folder for lineage cuts: the session's ``spark.checkpoint.dir``; on a local master, if it is unset, one of our own.
+
+    A folder of one machine is of no use to the executors of a cluster, so there the setting is required.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lexquarry-checkpoints")
+    wanted = spark.conf.get("spark.checkpoint.dir", None)
+    if not wanted:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        wanted = os.path.join(tempfile.gettempdir(), "lexquarry-checkpoints")
     sc.setCheckpointDir(wanted)
     return wanted
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder; later reads survive the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, fresh: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder; later reads survive the loss of executors.
+
+    ``fresh`` also drops the size estimates of the plan: a loop whose joins multiply them would otherwise double their digits
+    in every round. The files go when the result does, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint()
+    if not fresh:
+        return out
+    j = out._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(j.queryExecution().toRdd(), j.schema(), False), spark)
