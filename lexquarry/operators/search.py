@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import cut
 
-#: Most query vectors sent to all tasks at once; more are worked off in blocks of this size.
-QUERY_BLOCK = 4096
+#: Vectors of a tile of a batch search: of the queries and of the rows searched.
+QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 
 
 def top_k(df: DataFrame, query: Sequence[float], k: int, *, metric: str = "cosine", vector: str = "embedding", key: str = "id", where: Column | None = None, least: float | None = None, most: float | None = None, farthest: float | None = None) -> DataFrame:
@@ -55,21 +55,49 @@ def similar_to(df: DataFrame, value, k: int, *, key: str = "id", metric: str = "
     return top_k(df, q, k, metric=metric, vector=vector, key=key, where=None if itself else F.col(key) != F.lit(value))
 
 
-def _block_best(ids: np.ndarray, unit: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            m = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            length = np.sqrt((m * m).sum(axis=1))
-            sim = np.clip(unit @ np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0).T, -1, 1)
-            keep = min(n, k + 1)  # one more for the query itself
-            top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(ids), 1))
-            # all that are equal to the last of the best stay, so that ties can be broken by key afterwards
-            bar = np.take_along_axis(sim, top, axis=1).min(axis=1) - 1e-9
-            q, j = np.nonzero(sim >= bar[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column("k").take(pa.array(j)), pa.array(sim[q, j])], ["query", "key", "similarity"])
+def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of length one; a vector of zeros stays so."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) if len(c) else np.zeros((0, 1))
+    length = np.sqrt((m * m).sum(axis=1))
+    return np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0)
+
+
+def _tiles(queries: DataFrame, df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``qi, di, asked, k, v``: the query vectors and the vectors of ``df`` in every pair of a block of queries and a block of rows.
+
+    Blocks hold some ``QUERY_BLOCK`` queries and ``ROW_BLOCK`` rows; no vector passes the driver, and of a few queries none is
+    copied but to the blocks of rows.
+    """
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), V.as_vector(vector).alias("v"))
+    data = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), V.as_vector(vector).alias("v"))
+    nq, nd = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-data.count() // ROW_BLOCK))
+    own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "k"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = asked.select(own(nq, 1).alias("qi"), every(nd).alias("di"), F.lit(True).alias("asked"), "k", "v")
+    b = data.select(every(nq).alias("qi"), own(nd, 2).alias("di"), F.lit(False).alias("asked"), "k", "v")
+    return a.unionByName(b)
+
+
+def _sides(t: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    asked = t.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+    q, d = t.take(pa.array(np.flatnonzero(asked))), t.take(pa.array(np.flatnonzero(~asked)))
+    return q.column("k").combine_chunks(), _unit(q.column("v")), d.column("k").combine_chunks(), _unit(d.column("v"))
+
+
+def _tile_best(k: int, itself: bool, kind: str):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ids, q, keys, d = _sides(t)
+        n = len(keys)
+        if not len(ids) or not n:
+            return pa.table({"query": ids[:0], "key": ids[:0], "similarity": pa.array([], pa.float64())})
+        sim = np.clip(q @ d.T, -1, 1)
+        keep = min(n, k + (not itself))  # one more for the query itself
+        top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(ids), 1))
+        # all that are equal to the last of the best stay, so that ties can be broken by key afterwards
+        bar = np.take_along_axis(sim, top, axis=1).min(axis=1) - 1e-9
+        i, j = np.nonzero(sim >= bar[:, None])
+        return pa.table({"query": ids.take(pa.array(i)), "key": keys.take(pa.array(j)), "similarity": pa.array(sim[i, j])})
 
     return run
 
@@ -77,30 +105,40 @@ def _block_best(ids: np.ndarray, unit: np.ndarray, k: int):
 def batch_top_k(queries: DataFrame, df: DataFrame, k: int, *, key: str, vector: str = "embedding", itself: bool = False) -> DataFrame:
     """``query, key, similarity, rank``: the ``k`` most similar rows of ``df`` for each row of ``queries``, by block products.
 
-    The query vectors are sent to all tasks in blocks of ``QUERY_BLOCK`` rows; every task keeps its best for each query.
+    Every tile keeps its best for each query; these are merged by a window over the query.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(key, vector)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     kind = dict(df.dtypes)[key]
-    data = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    schema = f"query {kind}, key {kind}, similarity double"
-    parts = []
-    for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).toArrow()
-        if not rows.num_rows and parts:
-            continue
-        ids = rows.column(key).to_numpy()
-        m = rows.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
-        length = np.sqrt((m * m).sum(axis=1))
-        unit = np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0)
-        parts.append(data.mapInArrow(_block_best(ids, unit, k), schema) if len(ids) else data.select(F.col("k").alias("query"), F.col("k").alias("key"), F.lit(0.0).alias("similarity")).where("false"))
-    found = reduce(DataFrame.unionAll, parts)
+    found = _tiles(queries, df, key, vector).groupBy("qi", "di").applyInArrow(_tile_best(k, itself, kind), f"query {kind}, key {kind}, similarity double")
     if not itself:
         found = found.where("query <> key")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _tile_sums(itself: bool):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ids, q, keys, d = _sides(t)
+        if not len(ids) or not len(keys):
+            return pa.table({"query": ids[:0], "n": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("total", "squares", "low", "high")}})
+        sim = np.clip(q @ d.T, -1, 1)
+        out = np.zeros_like(sim, bool) if itself else np.asarray(ids.to_numpy(zero_copy_only=False))[:, None] == np.asarray(keys.to_numpy(zero_copy_only=False))[None, :]
+        n = (~out).sum(axis=1)
+        some = np.flatnonzero(n)
+        sim, out, n = sim[some], out[some], n[some]
+        sums = {"total": np.where(out, 0, sim).sum(axis=1), "squares": np.where(out, 0, sim * sim).sum(axis=1), "low": np.where(out, 2, sim).min(axis=1), "high": np.where(out, -2, sim).max(axis=1)}
+        return pa.table({"query": ids.take(pa.array(some)), "n": pa.array(n.astype(np.int64)), **{c: pa.array(x) for c, x in sums.items()}})
+
+    return run
+
+
+def similarity_statistics(queries: DataFrame, df: DataFrame, *, key: str, vector: str = "embedding", itself: bool = False) -> DataFrame:
+    """``query, n, mean, std, low, high`` over the similarities of each query with all rows; summed inside the tiles, no pair is written."""
+    kind = dict(df.dtypes)[key]
+    sums = _tiles(queries, df, key, vector).groupBy("qi", "di").applyInArrow(_tile_sums(itself), f"query {kind}, n bigint, total double, squares double, low double, high double")
+    out = sums.groupBy("query").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return out.select("query", "n", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - F.col("mean") * F.col("mean"))).alias("std"), "low", "high")
+
+
 def leader_clusters(df: DataFrame, threshold: float, *, key: str, vector: str = "embedding", block: int = 2048) -> DataFrame:
     """``key, leader``: rows in key order; a row not yet taken leads and takes all later rows of at least that similarity.
 
@@ -197,6 +235,7 @@ def index_advice(n: Column, recall: Column | None = None) -> Column:
 
 # ranking
 
+# Weights of types and of fields of law.
 TYPE_WEIGHTS = {"ustawa": 1.2, "kodeks": 1.3, "rozporządzenie": 1.0, "dekret": 0.9, "uchwała": 0.8}
 DOMAIN_WEIGHTS = {
     "prawo konstytucyjne": 1.3, "prawo cywilne": 1.2, "prawo karne": 1.2, "prawo administracyjne": 1.1, "prawo pracy": 1.0, "prawo podatkowe": 1.0,

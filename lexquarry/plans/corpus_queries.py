@@ -45,7 +45,7 @@ def docs_by_type(spark, sf):
 @query(f"WITH {CUR} SELECT id, title, eli_identifier FROM cur WHERE id = (SELECT min(id) FROM legal_documents)")
 def doc_lookup(spark, sf):
     first = table(spark, sf, "legal_documents").agg(F.min("id")).collect()[0][0]
-    return current(spark, sf, "id", "title", "eli_identifier").where(F.col("id") == first)
+    return current(spark, sf, "id", "title", "eli_identifier").where(F.col("id") == first).all()
 
 
 @query(f"WITH {CUR} SELECT id, title FROM cur WHERE eli_identifier = (SELECT min(eli_identifier) FROM legal_documents)")
@@ -57,7 +57,7 @@ def doc_by_act_id(spark, sf):
 @query(f"WITH {CUR} SELECT id, published_at FROM cur WHERE published_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY AND TIMESTAMP '{AS_OF}'")
 def docs_recent(spark, sf):
     at = F.lit(AS_OF).cast("timestamp_ntz")
-    return current(spark, sf, "id", "published_at").where(F.col("published_at").between(at - F.expr("INTERVAL 365 DAYS"), at))
+    return current(spark, sf, "id", "published_at").where(F.col("published_at").between(at - F.expr("INTERVAL 365 DAYS"), at)).all()
 
 
 @query("WITH k AS (SELECT CAST(x AS BIGINT) AS doc_id, CAST(i AS INTEGER) AS pos FROM (VALUES (5, 0), (900000000, 1), (3, 2), (5, 3)) t(x, i)) SELECT k.pos, k.doc_id, d.n_chars FROM k LEFT JOIN documents d ON d.doc_id = k.doc_id")

@@ -91,7 +91,7 @@ def section_vectors(spark, sf):
 @query()
 def chunk_vectors(spark, sf):
     """Mean of the vectors of a text's chunks."""
-    c = current(spark, sf, "id", "content").select("id", F.explode(T.sentence_chunks("content")).alias("chunk"))
+    c = current(spark, sf, "id", "content").select("id", T.sentence_chunks("content").alias("all_")).select("id", F.explode("all_").alias("chunk"))
     d = E.mean_vector(E.encode(c, "chunk", "id"), "id")
     return d.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
 

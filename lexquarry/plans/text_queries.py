@@ -39,11 +39,11 @@ def text_words(spark, sf):
 
 
 def text_sentences(spark, sf):
-    return current(spark, sf, "id", "content").select("id", F.posexplode(T.sentences("content")).alias("n", "sentence"))
+    return current(spark, sf, "id", "content").select("id", T.sentences("content").alias("all_")).select("id", F.posexplode("all_").alias("n", "sentence"))
 
 
 def text_paragraphs(spark, sf):
-    return current(spark, sf, "id", "content").select("id", F.posexplode(T.paragraphs("content")).alias("n", "paragraph")).select("id", "n", F.md5(F.encode("paragraph", "UTF-8")).alias("digest"))
+    return current(spark, sf, "id", "content").select("id", T.paragraphs("content").alias("all_")).select("id", F.posexplode("all_").alias("n", "paragraph")).select("id", "n", F.md5(F.encode("paragraph", "UTF-8")).alias("digest"))
 
 
 def linguistic_features(spark, sf):
@@ -144,12 +144,12 @@ def embed_quality(spark, sf):
 
 
 def chunk_fixed(spark, sf):
-    d = current(spark, sf, "id", "content").select("id", F.posexplode(T.fixed_chunks("content")).alias("n", "chunk"))
+    d = current(spark, sf, "id", "content").select("id", T.fixed_chunks("content").alias("all_")).select("id", F.posexplode("all_").alias("n", "chunk"))
     return d.select("id", "n", F.length("chunk").alias("chars"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
 
 
 def chunk_sentence(spark, sf):
-    d = current(spark, sf, "id", "content").select("id", F.posexplode(T.sentence_chunks("content")).alias("n", "chunk"))
+    d = current(spark, sf, "id", "content").select("id", T.sentence_chunks("content").alias("all_")).select("id", F.posexplode("all_").alias("n", "chunk"))
     return d.select("id", "n", F.length("chunk").alias("chars"))
 
 
@@ -180,7 +180,7 @@ def legal_refs(spark, sf):
     """References to articles with section, point and letter."""
     d = current(spark, sf, "id", "content")
     p = r"art\.\s*(\d+[a-z]?)(?:\s+ust\.\s*(\d+))?(?:\s+pkt\s*(\d+))?(?:\s+lit\.\s*([a-z]))?"
-    d = d.select("id", F.posexplode(F.regexp_extract_all(F.lower("content"), F.lit(p), F.lit(0))).alias("n", "reference"))
+    d = d.select("id", F.regexp_extract_all(F.lower("content"), F.lit(p), F.lit(0)).alias("all_")).select("id", F.posexplode("all_").alias("n", "reference"))
     part = lambda i, name: F.nullif(F.regexp_extract("reference", p, i), F.lit("")).alias(name)
     return d.select("id", "n", "reference", part(1, "article"), part(2, "section"), part(3, "point"), part(4, "letter"))
 
@@ -188,7 +188,7 @@ def legal_refs(spark, sf):
 def unique_refs(spark, sf):
     d = current(spark, sf, "id", "content")
     found = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("content"), F.lit(r"art\.\s*\d+[a-z]?|§\s*\d+|ust\.\s*\d+|pkt\s*\d+"), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", " ")))
-    return d.select("id", F.explode(found).alias("reference"))
+    return d.select("id", found.alias("all_")).select("id", F.explode("all_").alias("reference"))
 
 
 def affected_articles(spark, sf):
