@@ -378,6 +378,13 @@ def fixed_chunks(c, size: int = 400, overlap: int = 50) -> Column:
     return F.transform(starts, lambda i: F.substring(t, i + 1, F.lit(size)))
 
 
+def token_chunks(c, size: int = 400, overlap: int = 50) -> Column:
+    """Windows of ``size`` words that overlap by ``overlap``; a text without words has none."""
+    w, step = space_words(c), size - overlap
+    n = F.greatest(F.lit(1), F.ceil((F.size(w) - overlap) / step)).cast("int")
+    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(w, i * step + 1, size))).otherwise(F.array().cast("array<array<string>>"))
+
+
 def sentence_chunks(c, size: int = 400) -> Column:
     """Sentences gathered greedily up to ``size`` signs; a longer sentence stands alone."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))

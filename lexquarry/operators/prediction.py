@@ -80,6 +80,11 @@ def best_voter(votes: DataFrame, key: str) -> DataFrame:
 KERNELS = {"cosine": V.cosine, "euclidean": V.root_euclidean_similarity}
 
 
+def good_enough(accuracy: Column, f1: Column, precision: Column) -> Column:
+    """Whether a model is good enough to be used."""
+    return (accuracy >= 0.8) & (f1 >= 0.75) & (precision >= 0.7)
+
+
 def classifier(kind: str = "logistic", **params):
     """A pipeline of assembled, scaled features and a classifier: logistic, forest, boosted or linear_svc."""
     from pyspark.ml import Pipeline
@@ -103,3 +108,53 @@ def evaluate(train: DataFrame, test: DataFrame, kind: str, features: list[str],
 
     out = classifier(kind, features=features, label=label).fit(train).transform(test)
     return {m: MulticlassClassificationEvaluator(labelCol=label, metricName=m).evaluate(out) for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
+
+
+def _scored(model, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the class a model gives as ``name`` and how sure it is as ``name_p``."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(df)
+    p = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+    return out.select(*df.columns, F.col("prediction").alias(name), p.alias(f"{name}_p"))
+
+
+def cross_validated(df: DataFrame, kind: str, features: list[str], label: str = "label", fold: str = "fold", folds: int = 5) -> DataFrame:
+    """``fold, n, accuracy``: each fold judged by a model trained on the others."""
+    spark = df.sparkSession
+    df = df.cache()
+    out = []
+    for k in range(folds):
+        test = _scored(classifier(kind, features=features, label=label).fit(df.where(F.col(fold) != k)), df.where(F.col(fold) == k), "got")
+        r = test.agg(F.count("*").alias("n"), F.avg((F.col("got") == F.col(label)).cast("double")).alias("a")).collect()[0]
+        out.append((k, r.n, r.a))
+    return spark.createDataFrame(out, "fold int, n bigint, accuracy double")
+
+
+def stacked(df: DataFrame, kinds: list[str], features: list[str], label: str = "label", fold: str = "fold") -> DataFrame:
+    """``model, accuracy`` on fold 0: each kind alone, their blend (mean probability) and a model stacked on them.
+
+    The stacked model learns from what the others say about rows they have not seen: they are trained on folds 2 and above and
+    speak about fold 1, which trains the upper model; fold 0 is seen by none.
+    """
+    base, middle, test = df.where(F.col(fold) > 1).cache(), df.where(F.col(fold) == 1), df.where(F.col(fold) == 0)
+    for k in kinds:
+        model = classifier(k, features=features, label=label).fit(base)
+        middle, test = _scored(model, middle, k), _scored(model, test, k)
+    names = [f"{k}_p" for k in kinds]
+    test = _scored(classifier("logistic", features=names, label=label).fit(middle), test, "stacked")
+    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+    right = lambda c: F.avg((c == F.col(label)).cast("double"))
+    row = test.agg(*[right(F.col(k)).alias(k) for k in kinds], right((mean >= 0.5).cast("double")).alias("blend"), right(F.col("stacked")).alias("stacked")).collect()[0]
+    return df.sparkSession.createDataFrame([(k, row[k]) for k in [*kinds, "blend", "stacked"]], "model string, accuracy double")
+
+
+def save_model(model, path: str) -> None:
+    """Writes a trained pipeline to a folder all executors share."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

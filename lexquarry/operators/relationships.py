@@ -26,9 +26,10 @@ PARTIES = {
     "legal_act": [
         r"(?:ustawa|ustawy)\s+(?:z dnia\s+\d+|\w+)", r"(?:rozporządzenie|rozporządzenia)\s+(?:ministra|rady ministrów)", r"(?:kodeks|kodeksy)\s+(?:cywilny|karny|pracy|postępowania)",
         r"(?:konstytucja|konstytucji)\s+(?:rzeczypospolitej polskiej)", r"(?:traktat|traktaty|konwencja|konwencje)",
+        r"(?:dyrektywa|dyrektywy|rozporządzenie|rozporządzenia)\s+(?:unii europejskiej|ue)",
     ],
     "legal_concept": [
-        r"(?:prawo|prawa)\s+(?:własności|autorskie|administracyjne|konstytucyjne)", r"(?:odpowiedzialność|odpowiedzialności)\s+(?:cywilna|karna|administracyjna)",
+        r"(?:prawo|prawa)\s+(?:własności|autorskie|administracyjne|konstytucyjne)", r"(?:zobowiązanie|zobowiązania)\s+(?:umowne|pozaumowne)", r"(?:odpowiedzialność|odpowiedzialności)\s+(?:cywilna|karna|administracyjna)",
         r"(?:postępowanie|postępowania)\s+(?:cywilne|karne|administracyjne)", r"(?:orzeczenie|orzeczenia|wyrok|wyroki)", r"(?:umowa|umowy|kontrakt|kontrakty)",
         r"(?:decyzja|decyzje)\s+(?:administracyjna|administracyjne)",
     ],
@@ -45,6 +46,15 @@ VERBS = {
     "limits": ["ogranicza", "zawęża", "limituje"], "conditional_on": ["pod warunkiem", "w zależności od", "uzależnione od"],
     "applies_to": ["dotyczy", "odnosi się do", "ma zastosowanie do"],
 }
+# What opens a phrase and what stands in its middle, for the second form of each kind.
+FRAMES = {
+    "defines": [("przez|pod pojęciem", "rozumie się|należy rozumieć")], "modifies": [("w|we", "wprowadza się zmiany|dokonuje się zmian")],
+    "references": [("zgodnie z|na podstawie|w świetle", "")], "supersedes": [("w miejsce|zamiast", "wprowadza się|ustala się")], "implements": [("w wykonaniu|dla realizacji", "")],
+    "delegates": [("uprawnienie do|kompetencja do", "przysługuje|należy do")], "requires": [("warunkiem|przesłanką", "jest|stanowi")], "prohibits": [("zakaz|prohibicja", "dotyczy|obejmuje")],
+    "permits": [("możliwość|prawo do", "przysługuje|należy do")], "establishes": [("powstaje|tworzy się|ustanawia się", "w ramach|przez")], "repeals": [("uchyleniu|zniesieniu", "służy|dokonuje")],
+    "extends": [("rozszerzenie|poszerzenie", "następuje przez|dokonuje się poprzez")], "limits": [("ograniczenie|zawężenie", "następuje przez|wynika z")],
+    "conditional_on": [("jeżeli|gdy|w przypadku gdy", "to|wówczas")], "applies_to": [("zakres|zasięg", "obejmuje|dotyczy")],
+}
 BOOSTS = {"defines": 0.15, "modifies": 0.1, "references": 0.05, "supersedes": 0.12, "requires": 0.08}
 MODIFIERS = ["bezwarunkowo", "warunkowo", "tymczasowo", "ostatecznie", "natychmiast", "niezwłocznie", "stopniowo", "częściowo", "całkowicie", "w pełni", "ograniczenie", "wyjątkowo"]
 TEMPORAL = ["od dnia", "do dnia", "w dniu", "z dniem", "w terminie", "przed upływem", "po upływie", "w ciągu", "nie później niż", "nie wcześniej niż", "równocześnie", "jednocześnie"]
@@ -63,10 +73,12 @@ def parties(df: DataFrame, key: str, text: str) -> DataFrame:
 def _relations(column: Column) -> Column:
     """All subject-verb-object phrases of a line: the verb is searched, its subject reaches back to the end of the one before."""
     compiled = {k: r"\s+(?:" + "|".join(map(re.escape, vs)) + r")\s+(.+?)(?:\.|;)" for k, vs in VERBS.items()}
+    framed = {k: [rf"\b(?:{a})\s+([^.;]+?)\s+(?:{b})\s+([^.;]+)[.;]" if b else rf"\b(?:{a})\s+(\S+)\s+([^.;]+)[.;]" for a, b in fs] for k, fs in FRAMES.items()}
 
     @F.pandas_udf("array<struct<type:string,source:string,target:string,start:int,end:int>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rules = [(k, re.compile(p, re.IGNORECASE)) for k, p in compiled.items()]
+        frames = [(k, re.compile(p, re.IGNORECASE)) for k, ps in framed.items() for p in ps]
 
         def of(text: str | None) -> list[dict]:
             out, at = [], 0
@@ -78,6 +90,9 @@ def _relations(column: Column) -> Column:
                         if source:
                             out.append({"type": kind, "source": source, "target": m.group(1).strip(), "start": at + done, "end": at + m.end()})
                         done = m.end()
+                for kind, rule in frames:
+                    for m in rule.finditer(line):
+                        out.append({"type": kind, "source": m.group(1).strip(), "target": m.group(2).strip(), "start": at + m.start(), "end": at + m.end()})
                 at += len(line) + 1
             return out
 
@@ -112,3 +127,18 @@ def insights(found: DataFrame, key: str, top: int = 5) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc("n"), "type")
     d = found.groupBy(key, "type").agg(F.count("*").alias("n"))
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def hubs(found: DataFrame, top: int = 10) -> DataFrame:
+    """The kinds of parties with most relationships, as subject and as object, and the share of all they take part in."""
+    ends = found.select(F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("source_type").alias("party")), F.struct(F.lit("target").alias("side"), F.col("target_type").alias("party")))).alias("e"), "type")
+    d = ends.groupBy("e.party").agg(F.count("*").alias("n"), F.count_if(F.col("e.side") == "source").alias("as_source"), F.count_distinct("type").alias("kinds"))
+    return d.orderBy(F.desc("n"), "party").limit(top)
+
+
+def density(found: DataFrame, key: str) -> DataFrame:
+    """Distinct parties, relationships, and relationships for each possible pair of parties, of each text."""
+    each = found.select(key, F.explode(F.array(F.lower("source"), F.lower("target"))).alias("party")).groupBy(key).agg(F.count_distinct("party").alias("parties"))
+    d = found.groupBy(key).agg(F.count("*").alias("n")).join(each, key)
+    pairs = F.col("parties") * (F.col("parties") - 1)
+    return d.select(key, "parties", "n", F.when(pairs > 0, F.col("n") / pairs).otherwise(0.0).alias("density"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("vector_queries", "text_queries", "corpus_queries", "language_queries", "model_queries", "stream_queries")
+MODULES: tuple[str, ...] = ("vector_queries", "text_queries", "corpus_queries", "language_queries", "model_queries", "stream_queries", "understanding_queries")
 
 
 def _all(name: str) -> dict:

@@ -192,3 +192,13 @@ def text_analysis(spark, sf):
     out = m.select("id", kinds.alias("markers")).join(c, "id", "left").join(r, "id", "left").fillna(0)
     part = lambda col, n, w: w * F.least(F.lit(1.0), F.col(col) / n)
     return out.withColumn("complexity", F.round(part("concepts", 50, 0.4) + part("relations", 20, 0.4) + part("markers", 5, 0.2), 2))
+
+
+@query()
+def relation_hubs(spark, sf):
+    return R.hubs(R.relationships(docs(spark, sf), "id", "content"))
+
+
+@query()
+def relation_density(spark, sf):
+    return R.density(R.relationships(docs(spark, sf), "id", "content"), "id").withColumn("density", F.round("density", 6))
