@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Words without weight, and legal terms that are always kept.
-STOP_WORDS = ["i", "w", "z", "na", "do", "o", "od", "po", "za", "ze", "we", "to", "się", "nie", "jest", "są", "oraz", "a", "lub", "albo", "że", "dla", "przez", "przy", "the", "of", "and", "in", "to"]
-LEGAL_WORDS = ["ustawa", "ustawy", "artykuł", "paragraf", "przepis", "przepisy", "organ", "umowa", "kara", "prawo", "obowiązek", "rozporządzenie", "sąd", "minister"]
+# Words without weight, legal terms that are always kept, and patterns whose words weigh more.
+STOP_WORDS = [
+    "i", "a", "o", "z", "w", "na", "do", "od", "po", "za", "ze", "we", "to", "ta", "te", "ty", "jest", "są", "był", "była", "było", "były", "będzie", "będą", "ma", "mają", "miał", "miała",
+    "nie", "już", "tylko", "także", "również", "oraz", "albo", "lub", "ani", "czy", "że", "żeby", "gdy", "kiedy", "gdzie", "jak", "dlaczego", "dlatego", "ponieważ", "jednak", "lecz", "ale",
+]
+LEGAL_WORDS = [
+    "ustawa", "rozporządzenie", "artykuł", "paragraf", "ustęp", "punkt", "konstytucja", "kodeks", "prawo", "minister", "rząd", "parlament", "sejm", "senat", "prezydent", "sąd", "trybunał", "prokuratura",
+]
+TERM_PATTERNS = {
+    "act_reference": (r"\bustawa\s+z\s+dnia\s+[\p{L}\p{N}_\s]+", 2.5), "article": (r"\bart\.\s*\d+[a-z]?", 2.0), "paragraph": (r"§\s*\d+", 1.8), "section": (r"\bust\.\s*\d+", 1.5),
+    "definition": (r"oznacza|rozumie się|należy przez to rozumieć", 2.2), "amendment": (r"zmienia się|uchyla się|dodaje się|skreśla się", 2.0),
+    "legal_entity": (r"minister|rząd|parlament|sejm|senat|prezydent", 1.3), "legal_procedure": (r"procedura|postępowanie|proces|tryb", 1.4),
+}
 SECTION_WEIGHTS = {"title": 2.0, "article": 1.5, "definition": 1.8, "amendment": 1.3, "content": 1.0}
 
 
@@ -94,14 +104,29 @@ def bag_tokens(column: Column | str) -> Column:
 
 
 def token_weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, token, n, weight``: frequency times rarity in the text times legal weight, adding up to one for each text."""
-    d = df.select(key, F.explode(bag_tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key)
+    """``key, token, n, weight``: frequency times rarity in the text times legal weight, adding up to one for each text.
+
+    A token weighs more for each pattern of which it stands in a match, if it is a legal term, and if it is long.
+    """
+    low = F.lower(text)
+    found = [F.array_join(F.regexp_extract_all(low, F.lit(p), F.lit(0)), "\n").alias(f"p_{k}") for k, (p, _) in TERM_PATTERNS.items()]
+    d = df.select(key, bag_tokens(text).alias("tokens"), *found).select(key, F.explode("tokens").alias("token"), *[f"p_{k}" for k in TERM_PATTERNS])
     legal = F.when(F.col("token").isin(*LEGAL_WORDS), 1.5).otherwise(1.0) * F.when(F.length("token") > 6, 1.2).otherwise(1.0)
-    d = d.withColumn("raw", F.col("n") / F.sum("n").over(w) * F.log(1 + 1 / (1 + F.col("n"))) * legal)
+    for k, (_, weight) in TERM_PATTERNS.items():
+        legal = legal * F.when(F.contains(F.col(f"p_{k}"), F.col("token")), weight).otherwise(1.0)
+    d = d.select(key, "token", legal.alias("legal")).groupBy(key, "token").agg(F.count("*").alias("n"), F.max("legal").alias("legal"))
+    w = Window.partitionBy(key)
+    d = d.withColumn("raw", F.col("n") / F.sum("n").over(w) * F.log(1 + 1 / (1 + F.col("n"))) * F.col("legal"))
     return d.select(key, "token", "n", (F.col("raw") / F.sum("raw").over(w)).alias("weight"))
 
 
+def bag_coverage(text: Column | str) -> Column:
+    """Share of the signs of a text that are in its weighted tokens."""
+    t = T.col(text)
+    kept = F.aggregate(bag_tokens(t), F.lit(0), lambda s, x: s + F.length(x))
+    return F.when(F.length(t) > 0, F.least(F.lit(1.0), kept / F.length(t))).otherwise(0.0)
+
+
 def token_importance(weights: DataFrame, key: str, top: int = 10, bottom: int = 5) -> DataFrame:
     """The heaviest and the lightest tokens of each text."""
     a = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), "token")
@@ -110,8 +135,26 @@ def token_importance(weights: DataFrame, key: str, top: int = 10, bottom: int =
     return d.where((F.col("r") <= top) | (F.col("q") <= bottom)).select(key, "token", "weight", F.when(F.col("r") <= top, "top").otherwise("bottom").alias("end"))
 
 
+def _bags(make):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = make()
+        for b in batches:
+            bags = b.column("bag").to_pylist()
+            words = sorted({x["token"] for bag in bags for x in bag})
+            at, known = {w: i for i, w in enumerate(words)}, encoder.encode(words) if words else np.zeros((0, encoder.dimension))
+            out = []
+            for bag in bags:
+                v = np.asarray([x["weight"] for x in bag]) @ known[[at[x["token"]] for x in bag]]
+                n = np.sqrt((v * v).sum())
+                out.append((v / n if n else v).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], [b.schema.names[0], "vector"])
+
+    return run
+
+
 def bag_vectors(df: DataFrame, key: str, text: str, make=HashEncoder) -> DataFrame:
-    """Weighted sum of token vectors, scaled to length one. Each distinct token of the corpus is encoded once."""
-    w = token_weights(df, key, text)
-    vocabulary = encode(w.select("token").distinct(), "token", "token", make=make)
-    return mean_vector(w.join(vocabulary, "token"), key, "vector", F.col("weight"))
+    """Weighted sum of token vectors, scaled to length one. The tokens of a text are brought together with their weights, and
+    each distinct token of a batch of texts is encoded once; no vector of a token is moved."""
+    bags = token_weights(df, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("bag"))  # of one text
+    kind = dict(bags.dtypes)[key]
+    return bags.select(key, "bag").mapInArrow(_bags(make), f"`{key}` {kind}, vector array<double>")

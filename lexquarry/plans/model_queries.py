@@ -26,46 +26,32 @@ def query(sql: str | None = None):
 
 
 IN = lambda ws: "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(ws)) + ")"
-TOKENS = f"""{CUR}, w AS (SELECT id, unnest(regexp_extract_all(lower(title), '[\\pL\\pN_]+')) AS token FROM cur),
+CONTEXTS = ", ".join(f"array_to_string(regexp_extract_all(lower(t), '{p}'), chr(10)) AS p_{k}" for k, (p, _) in E.TERM_PATTERNS.items())
+FACTOR = " * ".join(f"CASE WHEN contains(p_{k}, token) THEN {w} ELSE 1.0 END" for k, (_, w) in E.TERM_PATTERNS.items())
+TOKENS = f"""{CUR}, t AS (SELECT id, concat_ws(' ', title, content) AS t FROM cur), c AS (SELECT id, t, {CONTEXTS} FROM t), w AS (SELECT id, unnest(regexp_extract_all(lower(t), '[\\pL\\pN_]+')) AS token FROM c),
  k AS (SELECT id, token, count(*) AS n FROM w WHERE length(token) >= 2 AND (token NOT IN {IN(E.STOP_WORDS)} OR token IN {IN(E.LEGAL_WORDS)}) AND NOT (regexp_matches(token, '^\\d+$') AND length(token) < 4) GROUP BY 1, 2),
- r AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY id) AS DOUBLE) * ln(1 + 1 / (1.0 + n)) * CASE WHEN token IN {IN(E.LEGAL_WORDS)} THEN 1.5 ELSE 1.0 END * CASE WHEN length(token) > 6 THEN 1.2 ELSE 1.0 END AS raw FROM k),
+ r AS (SELECT id, token, n, n / CAST(sum(n) OVER (PARTITION BY id) AS DOUBLE) * ln(1 + 1 / (1.0 + n)) * CASE WHEN token IN {IN(E.LEGAL_WORDS)} THEN 1.5 ELSE 1.0 END * CASE WHEN length(token) > 6 THEN 1.2 ELSE 1.0 END * {FACTOR} AS raw FROM k JOIN c USING (id)),
  x AS (SELECT id, token, n, raw / sum(raw) OVER (PARTITION BY id) AS weight FROM r)"""
 
 
-@query(f"WITH {TOKENS} SELECT id, token, n, round(weight, 6) AS weight FROM x")
-def bag_weights(spark, sf):
-    return E.token_weights(current(spark, sf, "id", "title"), "id", "title").withColumn("weight", F.round("weight", 6))
-
-
-@query(f"WITH {TOKENS} SELECT id, count(*) AS vocabulary, CAST(sum(n) AS BIGINT) AS tokens, round(max(weight), 6) AS heaviest FROM x GROUP BY 1")
-def bag_tokens(spark, sf):
-    w = E.token_weights(current(spark, sf, "id", "title"), "id", "title")
-    return w.groupBy("id").agg(F.count("*").alias("vocabulary"), F.sum("n").alias("tokens"), F.round(F.max("weight"), 6).alias("heaviest"))
-
-
-@query(f"WITH {TOKENS}, a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, token) AS r, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9), token) AS q FROM x) SELECT id, token, round(weight, 6) AS weight, CASE WHEN r <= 10 THEN 'top' ELSE 'bottom' END AS \"end\" FROM a WHERE r <= 10 OR q <= 5")
-def token_importance(spark, sf):
-    return E.token_importance(E.token_weights(current(spark, sf, "id", "title"), "id", "title"), "id").withColumn("weight", F.round("weight", 6))
-
-
 def _whole(spark, sf):
     """Title and content of the current documents as one text, as bags take it."""
     return current(spark, sf, "id", "title", "content").select("id", F.concat_ws(" ", "title", "content").alias("text"))
 
 
-@query()
-def bag_weights_whole(spark, sf):
+@query(f"WITH {TOKENS} SELECT id, token, n, round(weight, 6) AS weight FROM x")
+def bag_weights(spark, sf):
     return E.token_weights(_whole(spark, sf), "id", "text").withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def bag_tokens_whole(spark, sf):
+@query(f"WITH {TOKENS} SELECT id, count(*) AS vocabulary, CAST(sum(n) AS BIGINT) AS tokens, round(max(weight), 6) AS heaviest FROM x GROUP BY 1")
+def bag_tokens(spark, sf):
     w = E.token_weights(_whole(spark, sf), "id", "text")
     return w.groupBy("id").agg(F.count("*").alias("vocabulary"), F.sum("n").alias("tokens"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
-@query()
-def token_importance_whole(spark, sf):
+@query(f"WITH {TOKENS}, a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, token) AS r, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9), token) AS q FROM x) SELECT id, token, round(weight, 6) AS weight, CASE WHEN r <= 10 THEN 'top' ELSE 'bottom' END AS \"end\" FROM a WHERE r <= 10 OR q <= 5")
+def token_importance(spark, sf):
     return E.token_importance(E.token_weights(_whole(spark, sf), "id", "text"), "id").withColumn("weight", F.round("weight", 6))
 
 
