@@ -270,6 +270,8 @@ def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, copies: in
     placed = coded.where("cells is not null").select("grp", "key", "vec", F.explode("cells").alias("cell")).select(place.alias("cell"), "key", "vec")
     placed = divide(placed, split, fan, dimension)
     sizes = cut(placed.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    if sizes.count() <= 100_000:  # only cells of several blocks, two numbers each; more are joined
+        sizes = F.broadcast(sizes)
     placed = placed.join(sizes, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
