@@ -168,7 +168,7 @@ def test_nearly_equal_pivots_are_dropped():
     u = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2]]
     assert neighbours.apart(u, 4).tolist() == np.eye(4)[[0, 1, 2]].tolist() and len(neighbours.apart(u, 2)) == 2
     v = np.float32([[1, 0], [0.9999, 0.01], [0.9996, 0.03], [0.999, 0.045]])
-    assert len(neighbours.apart(v / np.linalg.norm(v, axis=1)[:, None], 4)) == 3
+    assert len(neighbours.apart(v / np.linalg.norm(v, axis=1)[:, None], 4)) == 2
 
 
 def test_cells_of_several_levels(spark):
