@@ -73,7 +73,7 @@ def replace(c: Column | str, *rules: tuple[str, str]) -> Column:
 
 def clean_formatting(c) -> Column:
     """Runs of blank lines become one, runs of blanks one blank; lines and text are trimmed."""
-    return F.regexp_replace(replace(c, (r"\n\s*\n", "\n\n"), (r"[ \t]+", " "), (r"(?m)^[ \t]+|[ \t]+$", "")), r"^\s+|\s+$", "")
+    return F.regexp_replace(replace(c, (r"\n\s*\n", "\n\n"), (r"[ \t]+", " "), (r"(?md)^[ \t]+|[ \t]+$", "")), r"^\s+|\s+$", "")
 
 
 def remove_noise(c) -> Column:

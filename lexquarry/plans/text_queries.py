@@ -271,3 +271,32 @@ ORACLES = {
         CASE WHEN NOT coalesce(regexp_matches(lower(content), 'art\\.\\s*\\d+[a-z]?'), false) THEN 'articles' END) AS errors FROM q) SELECT id, errors = '' AS valid, errors FROM e""",
     "legal_refs": f"WITH {CUR}, r AS (SELECT id, regexp_extract_all(lower(content), '{REF}') AS l FROM cur), x AS (SELECT id, CAST(i - 1 AS INTEGER) AS n, l[i] AS reference FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM r) y) SELECT id, n, reference, nullif(regexp_extract(reference, '{REF}', 1), '') AS article, nullif(regexp_extract(reference, '{REF}', 2), '') AS section, nullif(regexp_extract(reference, '{REF}', 3), '') AS point, nullif(regexp_extract(reference, '{REF}', 4), '') AS letter FROM x",
 }
+
+_SEVERAL = {
+    "text_clean_format": ONE("regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\\n\\s*\\n', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), '(?m)^[ \\t]+|[ \\t]+$', '', 'g'), '^\\s+|\\s+$', '', 'g')"),
+    "text_tags": ONE(RX("content", ("(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", ""), ("<[^>]+>", ""), ("&nbsp;", " "), ("&amp;", "&"), (r"&[a-zA-Z]+;|&#\d+;", ""), (r"\x{00A0}", " "))),
+    "text_noise": ONE(
+        "array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace("
+        + RX("x", (r"(?i)^\s*(?:strona\s+\d+\s*|str\.\s+\d+\s*|DZIENNIK\s+USTAW.*|Poz\.\s+\d+.*)$", ""), (r"\.{3,}", "..."), ("-{3,}", "---"), (r"([.!?])\s{2,}", r"\1 "))
+        + ", '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
+    ),
+    "text_normalize": ONE(
+        "trim("
+        + RX(
+            "replace(translate(content, '“”‘’–—', '\"\"''''--'), '…', '...')", (r"\b(\d+)\s*[-–—]\s*(\d+)\b", r"\1-\2"), (r"\b(\d{1,2})\s*\.\s*(\d{1,2})\s*\.\s*(\d{4})\b", r"\1.\2.\3"),
+            (r"[\x{00A0}\x{2000}-\x{200B}\x{2028}\x{2029}]", " "), (r"\s+", " "),
+        )
+        + ")"
+    ),
+    "query_sanitize": ONE(
+        "trim(substring("
+        + RX(
+            "trim(title)", (r"[\x00-\x08\x0e-\x1f\x7f-\x{9f}]", ""), (r"[\t\n\r\f\x0b]", " "), (r"\s+", " "),
+            (r"(?i)'';\s*DROP\s+TABLE|'';\s*DELETE\s+FROM|'';\s*INSERT\s+INTO|'';\s*UPDATE\s+|UNION\s+SELECT|<script[^>]*>|javascript:|vbscript:|onload\s*=|onerror\s*=", ""),
+        )
+        + ", 1, 500))"
+    ),
+    "embed_quality": f"WITH {CUR}, m AS (SELECT id, content, length(content) AS n, {WORDS} AS w, length(regexp_replace(content, '\\s', '', 'g')) / CAST(greatest({WORDS}, 1) AS DOUBLE) AS mean FROM cur) SELECT id, round(CAST(least(1.0, CASE WHEN n > 1000 THEN 0.3 WHEN n > 500 THEN 0.2 WHEN n > 100 THEN 0.1 ELSE 0.0 END + CASE WHEN regexp_matches(content, '(?i)\\bart\\.\\s*\\d+') THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(content, '§\\s*\\d+') THEN 0.1 ELSE 0.0 END + CASE WHEN regexp_matches(content, '(?i)oznacza|rozumie się|definicja') THEN 0.2 ELSE 0.0 END + CASE WHEN w > 10 AND mean BETWEEN 4 AND 8 THEN 0.2 ELSE 0.0 END) AS DOUBLE), 6) AS quality FROM m",
+    "registry_dates": f"WITH f AS (SELECT id, regexp_extract(title, '(\\d{{1,2}}\\s+\\pL+\\s+\\d{{4}})', 1) AS found FROM act_registry), p AS (SELECT id, found, list_position([{', '.join(repr(m) for m in T.MONTHS)}], regexp_extract(lower(found), '^\\d{{1,2}}\\s+([\\pL]+)\\s+\\d{{4}}$', 1)) AS m FROM f) SELECT id, found, CASE WHEN m > 0 THEN TRY_CAST(concat(regexp_extract(found, '\\s(\\d{{4}})$', 1), '-', lpad(CAST(m AS VARCHAR), 2, '0'), '-', lpad(regexp_extract(found, '^(\\d{{1,2}})\\s', 1), 2, '0')) AS DATE) END AS day FROM p",
+}
+ORACLES |= _SEVERAL
