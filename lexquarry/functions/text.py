@@ -143,7 +143,7 @@ def word_count(c) -> Column:
 def sentences(c) -> Column:
     """Simple sentences: cut at a full stop before a capital unless after Art, art or §, and at exclamation and question marks."""
     parts = F.split(col(c), r"(?<!Art)(?<!art)(?<!§)\.(?=\s+[A-ZĄĆĘŁŃÓŚŹŻ])|[!?]+")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def paragraphs(c) -> Column:

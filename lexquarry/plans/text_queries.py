@@ -300,3 +300,16 @@ _SEVERAL = {
     "registry_dates": f"WITH f AS (SELECT id, regexp_extract(title, '(\\d{{1,2}}\\s+\\pL+\\s+\\d{{4}})', 1) AS found FROM act_registry), p AS (SELECT id, found, list_position([{', '.join(repr(m) for m in T.MONTHS)}], regexp_extract(lower(found), '^\\d{{1,2}}\\s+([\\pL]+)\\s+\\d{{4}}$', 1)) AS m FROM f) SELECT id, found, CASE WHEN m > 0 THEN TRY_CAST(concat(regexp_extract(found, '\\s(\\d{{4}})$', 1), '-', lpad(CAST(m AS VARCHAR), 2, '0'), '-', lpad(regexp_extract(found, '^(\\d{{1,2}})\\s', 1), 2, '0')) AS DATE) END AS day FROM p",
 }
 ORACLES |= _SEVERAL
+# a stop before a capital, but after Art, art and §, told without looking back or ahead
+_MARKED = "regexp_replace(replace(replace(replace(content, 'Art.', 'Art' || chr(1)), 'art.', 'art' || chr(1)), '§.', '§' || chr(1)), '\\.(\\s+[A-ZĄĆĘŁŃÓŚŹŻ])', chr(2) || '\\1', 'g')"
+_BLANK = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\v]"  # as (?U)\\s
+_SENTENCES = f"list_filter(list_transform(string_split_regex({_MARKED}, '\\x02|[!?]+'), lambda x: regexp_replace(replace(x, chr(1), '.'), '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: x <> '')"
+_PARAGRAPHS = "list_filter(list_transform(string_split_regex(content, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+ORACLES |= {
+    "text_sentences": f"WITH {CUR}, s AS (SELECT id, {_SENTENCES} AS s FROM cur) SELECT id, CAST(i - 1 AS INTEGER) AS n, s[i] AS sentence FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM s) x",
+    "text_stats": f"WITH {CUR} SELECT id, length(content) AS chars, {WORDS} AS words, len({_SENTENCES}) AS sentences, len({_PARAGRAPHS}) AS paragraphs FROM cur",
+}
+ORACLES["affected_articles"] = (
+    "WITH a AS (SELECT DISTINCT id, affected_article, amendment_text FROM amendments), l AS (SELECT id, list_distinct(regexp_extract_all(lower(concat_ws(' ', affected_article, amendment_text)), 'art\\.?\\s*(\\d+[a-z]?)', 1)) AS l FROM a) "
+    "SELECT id, array_to_string(list_transform(list_sort(list_transform(l, lambda x: {'n': length(x), 'x': x})), lambda y: y.x), ',') AS articles FROM l"
+)
