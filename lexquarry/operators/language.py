@@ -273,12 +273,22 @@ def outline(df: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, "line", "chapter", "article", "section", "point", F.length("t").alias("chars"))
 
 
-def register_direct(pairs: DataFrame, formal: str, informal: str) -> DataFrame:
-    """Phrases of the formal text whose plain counterparts occur in the other text: one row for each such pair of phrases."""
-    rows = [(a, b) for a, bs in REGISTER.items() for b in bs]
-    phrases = pairs.sparkSession.createDataFrame(rows, "formal_phrase string, plain_phrase string")  # a fixed table of some 40 rows
-    word = lambda t, p: F.expr(f"regexp_like({t}, concat('(?iU)\\\\b', {p}, '\\\\b'))")
-    return pairs.join(F.broadcast(phrases), word(formal, "formal_phrase") & word(informal, "plain_phrase"))
+def phrases_in(text: Column, phrases: list[str]) -> Column:
+    """Those of a fixed list of phrases that stand in a text as whole words."""
+    every = F.array(*[F.lit(p) for p in dict.fromkeys(phrases)])
+    return F.filter(every, lambda p: F.regexp_like(text, F.concat(F.lit(r"(?iU)\b"), p, F.lit(r"\b"))))
+
+
+def register_direct(formal: DataFrame, plain: DataFrame, key: str, plain_key: str) -> DataFrame:
+    """Phrases of the formal text whose plain counterparts occur in the other text: one row for each such pair of phrases.
+
+    ``formal``: ``key, phrases``, the formal phrases found in each text; ``plain``: ``plain_key, key, phrases``, the plain ones.
+    The phrases of a text are searched once; only these are joined.
+    """
+    counterparts = F.create_map(*[x for f, ps in REGISTER.items() for x in (F.lit(f), F.array(*[F.lit(p) for p in ps]))])
+    d = plain.select(plain_key, key, F.col("phrases").alias("ps")).join(formal.select(key, F.col("phrases").alias("fs")), key)
+    d = d.select(plain_key, F.explode("fs").alias("formal_phrase"), "ps")
+    return d.select(plain_key, "formal_phrase", F.explode(F.array_intersect(counterparts[F.col("formal_phrase")], "ps")).alias("plain_phrase"))
 
 
 def register_shapes(df: DataFrame, formal: str, informal: str) -> DataFrame:

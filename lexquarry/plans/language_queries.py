@@ -130,9 +130,19 @@ def _pairs(spark, sf):
     return a.join(docs(spark, sf).withColumnRenamed("content", "formal"), "id").select("amendment_id", "formal", "plain")
 
 
-@query()
+_PHRASE = lambda c, ps: f"list_filter([{', '.join(repr(p) for p in dict.fromkeys(ps))}], lambda p: regexp_matches({c}, '(?i)(?:^|[^\\pL\\pN_])' || p || '(?:$|[^\\pL\\pN_])'))"
+_PLAIN = [p for ps in L.REGISTER.values() for p in ps]
+_PAIR = ", ".join(f"('{f}', '{p}')" for f, ps in L.REGISTER.items() for p in ps)
+
+
+@query(f"""WITH {CUR}, f AS (SELECT id, unnest({_PHRASE('content', L.REGISTER)}) AS formal_phrase FROM cur),
+ p AS (SELECT id AS amendment_id, document_id, unnest({_PHRASE('amendment_text', _PLAIN)}) AS plain_phrase FROM (SELECT DISTINCT id, document_id, amendment_text FROM amendments) z)
+ SELECT amendment_id, formal_phrase, plain_phrase FROM f JOIN p ON p.document_id = f.id WHERE (formal_phrase, plain_phrase) IN ({_PAIR})""")
 def register_direct(spark, sf):
-    return L.register_direct(_pairs(spark, sf), "formal", "plain").select("amendment_id", "formal_phrase", "plain_phrase")
+    formal = docs(spark, sf).select("id", L.phrases_in(F.col("content"), list(L.REGISTER)).alias("phrases"))
+    a = table(spark, sf, "amendments").select("id", "document_id", "amendment_text").distinct()
+    plain = a.select(F.col("id").alias("amendment_id"), F.col("document_id").alias("id"), L.phrases_in(F.col("amendment_text"), _PLAIN).alias("phrases"))
+    return L.register_direct(formal, plain, "id", "amendment_id")
 
 
 _SHAPES = " UNION ALL ".join(
@@ -146,6 +156,16 @@ def register_structural(spark, sf):
     return d.withColumn("similarity", F.round("similarity", 6))
 
 
+_SHAPE_ROWS = [("s1", "Art. 5 stosuje się. Zabrania się palenia. Należy zgłosić.", "Artykuł 5 mówi, że nie można palić i trzeba zgłosić, trzeba pisać."), ("s2", "§ 3 ust. 1", "paragraf 3, paragraf drugi"), ("s3", "nic", "nic")]
+
+
+@query("WITH q AS (SELECT amendment_id, lower(a) AS f, lower(b) AS p FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, a, b in _SHAPE_ROWS) + f") v(amendment_id, a, b)), s AS ({_SHAPES}) SELECT amendment_id, pattern, formal_hits, plain_hits, round(CAST(least(0.9, formal_hits * plain_hits * 0.1) AS DOUBLE), 6) AS similarity, CAST(confidence AS DOUBLE) AS confidence FROM s WHERE formal_hits > 0 AND plain_hits > 0")
+def register_shapes(spark, sf):
+    """Structural patterns of two registers on fixed rows, since the tables hold none."""
+    d = L.register_shapes(spark.createDataFrame(_SHAPE_ROWS, "amendment_id string, formal string, plain string"), "formal", "plain")
+    return d.withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def query_understanding(spark, sf):
     """Every title as a search text."""
