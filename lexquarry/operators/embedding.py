@@ -135,26 +135,54 @@ def token_importance(weights: DataFrame, key: str, top: int = 10, bottom: int =
     return d.where((F.col("r") <= top) | (F.col("q") <= bottom)).select(key, "token", "weight", F.when(F.col("r") <= top, "top").otherwise("bottom").alias("end"))
 
 
+#: Numbers of the token vectors that are held at a time; bounds the memory of a task, not what is summed.
+PORTION = 1 << 22
+
+
+def _portions(offsets: np.ndarray, most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Stretches ``(row, start, end)`` of lists, in order, together up to ``most`` values at a time; longer lists are divided."""
+    out, size = [], 0
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        if out and size + b - a > most:
+            yield out
+            out, size = [], 0
+        for start in range(a, b, most):
+            end = min(b, start + most)
+            if out and size + end - start > most:
+                yield out
+                out, size = [], 0
+            out.append((row, start, end))
+            size += end - start
+    if out:
+        yield out
+
+
 def _bags(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
+        most = max(1, PORTION // encoder.dimension)
         for b in batches:
-            bags = b.column("bag").to_pylist()
-            words = sorted({x["token"] for bag in bags for x in bag})
-            at, known = {w: i for i, w in enumerate(words)}, encoder.encode(words) if words else np.zeros((0, encoder.dimension))
-            out = []
-            for bag in bags:
-                v = np.asarray([x["weight"] for x in bag]) @ known[[at[x["token"]] for x in bag]]
-                n = np.sqrt((v * v).sum())
-                out.append((v / n if n else v).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], [b.schema.names[0], "vector"])
+            bags = b.column("bag")
+            offsets, values = bags.offsets.to_numpy(), bags.values
+            tokens, weights = values.field("token"), values.field("weight").to_numpy(zero_copy_only=False)
+            out = np.zeros((b.num_rows, encoder.dimension))
+            for portion in _portions(offsets, most):
+                first, last = portion[0][1], portion[-1][2]
+                words = tokens.slice(first, last - first).dictionary_encode()
+                at, known = words.indices.to_numpy(), encoder.encode(words.dictionary.to_pylist())
+                for row, start, end in portion:
+                    out[row] += weights[start:end] @ known[at[start - first : end - first]]
+            n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            np.divide(out, n, out=out, where=n > 0)
+            off = np.arange(0, out.size + 1, encoder.dimension, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, out.ravel())], [b.schema.names[0], "vector"])
 
     return run
 
 
 def bag_vectors(df: DataFrame, key: str, text: str, make=HashEncoder) -> DataFrame:
     """Weighted sum of token vectors, scaled to length one. The tokens of a text are brought together with their weights, and
-    each distinct token of a batch of texts is encoded once; no vector of a token is moved."""
+    each distinct token of a portion of texts is encoded once; no vector of a token is moved."""
     bags = token_weights(df, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("bag"))  # of one text
     kind = dict(bags.dtypes)[key]
     return bags.select(key, "bag").mapInArrow(_bags(make), f"`{key}` {kind}, vector array<double>")

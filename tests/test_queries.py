@@ -161,3 +161,36 @@ def test_local_checkpoints_are_refused_on_a_cluster():
     fake = type("F", (), {"sparkContext": Context(), "conf": type("C", (), {"get": lambda self, k, d=None: d})()})()
     with p.raises(ValueError):
         session.checkpoint_dir(fake)
+
+
+def test_bags_of_a_batch_are_not_held_as_objects(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lexquarry.operators import embedding as E
+
+    rng = np.random.default_rng(5)
+    words, sizes = [f"słowo{i}" for i in range(500)], np.array([*rng.integers(1, 300, 1500), 0, 450])
+    picks = [rng.permutation(500)[:n] for n in sizes]
+    flat, weights = np.concatenate(picks), rng.random(sizes.sum())
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    bag = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(words).take(pa.array(flat)), pa.array(weights)], ["token", "weight"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), bag], ["id", "bag"]).slice(3)
+
+    def vectors():
+        (out,) = E._bags(E.HashEncoder)(iter([batch]))
+        return np.array(out.column("vector").to_pylist())
+
+    tracemalloc.start()
+    list(E._bags(E.HashEncoder)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6  # some 225,000 tokens
+    known, got = E.HashEncoder().encode(words), vectors()
+    for row, (a, b) in enumerate(zip(offsets[3:-1], offsets[4:])):
+        v = weights[a:b] @ known[flat[a:b]]
+        assert np.allclose(got[row], v / np.sqrt(v @ v) if b > a else v)
+    monkeypatch.setattr(E, "PORTION", 64 * 100, raising=False)  # bags of more than 100 tokens are divided
+    assert np.allclose(vectors(), got)
