@@ -19,9 +19,12 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -128,20 +131,61 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(edges, pa.list_(pa.bool_()))], ["digest", "keys", "edges"])
 
 
-def running_lines(pages: DataFrame, least: int = 5, share: float = 0.52) -> frozenset[int]:
-    """Templates of running headers and footers: at the edge of a page ``least`` times and once for 10,000 texts, and oftener there than in the body (``share``).
+#: Templates of running lines that go to all tasks, 8 bytes each; of more, each text gets its own by a join, with the same result.
+SHARED = 1 << 22
 
-    Counts cover the distinct texts. Since a text has as many edges as its pages have, at most some ten thousand templates times
-    the mean number of edges of a text can be found, however many texts there are.
+
+class Sorted:
+    """A set of whole numbers as a sorted array."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = array("q", np.sort(values).astype(np.int64).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(self.values)
+
+    def __contains__(self, x: int | None) -> bool:
+        i = len(self.values) if x is None else bisect_left(self.values, x)
+        return i < len(self.values) and self.values[i] == x
+
+
+def running_lines(texts: DataFrame, least: int = 5, share: float = 0.52) -> DataFrame:
+    """``key`` of the templates of running headers and footers: at the edge of a page ``least`` times, and oftener there than in the body (``share``).
+
+    ``texts``: the templates of each distinct text, as of ``_templates``.
     """
+    each = texts.select(F.explode(F.arrays_zip("keys", "edges")).alias("x")).select(F.col("x.keys").alias("key"), "x.edges")
+    sums = each.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("edges").cast("int")).alias("e"))
+    return sums.where((F.col("e") >= least) & (F.col("e") >= share * F.col("n"))).select("key")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the digest of their text, as ``_templates`` has it."""
+    for b in batches:
+        digests = []
+        for text, raw in zip(b.column("text").to_pylist(), b.column("raw").to_pylist()):
+            text = raw.decode("utf-8", "replace") if text is None and raw is not None else text
+            digests.append(None if text is None else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], [*b.schema.names, "digest"])
+
+
+def scanned(pages: DataFrame) -> DataFrame:
+    """The rows of ``_scan`` for ``pages``, with the running lines of the whole corpus."""
     texts = cut(pages.select("text", "raw").mapInArrow(_templates, "digest binary, keys array<bigint>, edges array<boolean>").dropDuplicates(["digest"]))
-    each = texts.select(F.explode(F.arrays_zip("keys", "edges")).alias("x")).select("x.keys", "x.edges")
-    sums = each.groupBy("keys").agg(F.count("*").alias("n"), F.sum(F.col("edges").cast("int")).alias("e"))
-    bar = max(least, texts.count() // 10_000)
-    return frozenset(sums.where((F.col("e") >= bar) & (F.col("e") >= share * F.col("n"))).select("keys").toArrow().column("keys").to_pylist())
+    running = cut(running_lines(texts))
+    schema = COLUMNS.format(ord=dict(pages.dtypes)["ord"])
+    if running.count() <= SHARED:
+        known = pages.sparkSession.sparkContext.broadcast(Sorted(running.toArrow().column("key").to_numpy()))
+        return pages.mapInArrow(_scan(known), schema)
+    held = texts.select("digest", F.explode(F.array_distinct("keys")).alias("key")).join(running, "key").groupBy("digest").agg(F.collect_list("key").alias("running"))  # of one text
+    fields = ", ".join(f"{n} {t}" for n, t in pages.dtypes)
+    return pages.mapInArrow(_digests, f"{fields}, digest binary").join(held, "digest", "left").drop("digest").mapInArrow(_scan(None), schema)
 
 
-def furniture(lines: list[str], title: str | None, running: frozenset[int] = frozenset()) -> set[int]:
+def furniture(lines: list[str], title: str | None, running: Collection[int] = frozenset()) -> set[int]:
     """Indexes of the lines that are only a running header, a footer or a page number."""
     found: set[int] = set()
     head = _plain(title or "")
@@ -196,7 +240,7 @@ def _edge(lines: list[str], i: int, found: set[int]) -> bool:
     return before is None or lines[before].strip() == "" or "\f" in lines[before] or before in found
 
 
-def analyse(text: str, title: str | None, running: frozenset[int] = frozenset()) -> tuple[list[int], list[tuple[int, str, str, str]], list[tuple[str, int, int, int]]]:
+def analyse(text: str, title: str | None, running: Collection[int] = frozenset()) -> tuple[list[int], list[tuple[int, str, str, str]], list[tuple[str, int, int, int]]]:
     """Furniture lines; divided words (line, first part, second part, mark); words (word, line, next line, length of the first part)."""
     lines = text.split("\n")
     out = furniture(lines, title, running)
@@ -279,8 +323,11 @@ def doubtful(word: str, foreign: re.Pattern = FOREIGN[""]) -> bool:
 COLUMNS = "kind string, id string, ord {ord}, line int, next int, cut int, word string, rest string, mark string, n bigint, h bigint"
 
 
-def _scan(running: frozenset[int]):
-    """Rows of five kinds: d documents, f furniture, h divided words, s doubtful words, w the counts of the words of a text under its digest."""
+def _scan(shared):
+    """Rows of five kinds: d documents, f furniture, h divided words, s doubtful words, w the counts of the words of a text under its digest.
+
+    ``shared``: the running lines of all texts; without it each row has those of its own text as ``running``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "id", "ord", "line", "next", "cut", "word", "rest", "mark", "n", "h"]
@@ -288,7 +335,8 @@ def _scan(running: frozenset[int]):
             rows: list[tuple] = []
             ids, ords = b.column("id").to_pylist(), b.column("ord")
             at: list[int] = []
-            for k, (doc, text, raw, title) in enumerate(zip(ids, b.column("text").to_pylist(), b.column("raw").to_pylist(), b.column("title").to_pylist())):
+            lines_of = [shared.value] * len(ids) if shared else [frozenset(x or ()) for x in b.column("running").to_pylist()]
+            for k, (doc, text, raw, title, running) in enumerate(zip(ids, b.column("text").to_pylist(), b.column("raw").to_pylist(), b.column("title").to_pylist(), lines_of)):
                 if text is None and raw is not None:
                     text = raw.decode("utf-8", "replace")
                 before = len(rows)
@@ -332,9 +380,8 @@ def scan_noise(legal: DataFrame, often: int = 4, ratio: int = 8) -> DataFrame:
 
     A word is misread if a confusion of signs leads to a word at least ``often`` times in the corpus and ``ratio`` times as often.
     """
-    kind = dict(legal.dtypes)["updated_at"]
     pages = legal.select("id", F.col("updated_at").alias("ord"), "title", F.col("pdf_extracted_text").alias("text"), F.when(F.col("pdf_extracted_text").isNull(), F.col("pdf_raw_content")).alias("raw"))
-    rows = cut(pages.mapInArrow(_scan(running_lines(pages)), COLUMNS.format(ord=kind)))
+    rows = cut(scanned(pages))
     current = rows.where("kind = 'd'").groupBy("id").agg(F.max("ord").alias("ord"))
     live = rows.where("kind <> 'd'").join(current, (rows["id"].eqNullSafe(current["id"])) & (rows["ord"].eqNullSafe(current["ord"]))).drop(current["id"]).drop(current["ord"])
     texts = live.where("kind = 'w'").groupBy("word").agg(F.min("rest").alias("rest"))  # titles may tell other furniture of equal texts

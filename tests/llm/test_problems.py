@@ -474,6 +474,26 @@ def test_running_lines_of_the_corpus(spark):
     assert got == {(f"d{k}", 1) for k in range(6)}
 
 
+def test_running_lines_need_no_more_repeats_in_a_large_corpus(spark):
+    word = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    text = F.concat(F.when(F.col("id") < 5, F.concat(F.lit("Acme Annual Report 2023 | page "), F.col("id") + 7, F.lit("\n"))).otherwise(""), F.lit("tekst "), word)
+    d = spark.range(60_100).select(F.col("id").cast("string").alias("id"), F.lit(T0).alias("updated_at"), F.lit(None).cast("string").alias("title"), text.alias("pdf_extracted_text"), F.lit(None).cast("binary").alias("pdf_raw_content"))
+    got = {(r.id, r.line_no) for r in scans.scan_noise(d).where("kind = 'furniture'").collect()}
+    assert got == {(str(k), 1) for k in range(5)}
+
+
+def test_running_lines_joined_to_their_texts_are_those_shared(spark, monkeypatch):
+    texts = [f"Acme Annual Report 2023 | page {7 + k % 9}\nThe words of text {k} go on here\nand end here." for k in range(8)]
+    more = [f"Tekst {k}.\nKoniec\nDruk nr {k}" for k in range(5)]
+    rows = [(f"d{k}", None, "c", {"pdf_extracted_text": t} if k % 2 else {"pdf_raw_content": t.encode()}) for k, t in enumerate([*texts, *texts, *more])]
+    d = legal(spark, *rows, ("x", None, "c", {"pdf_extracted_text": "Art. 5.\nTekst."}), ("y", None, "c"))
+    noise = lambda: sorted(map(tuple, scans.scan_noise(d).select("id", "kind", "line_no").distinct().collect()))
+    want = noise()
+    assert {x for x in want if x[1] == "furniture"} == {(f"d{k}", "furniture", 1) for k in range(21)} | {(f"d{k}", "furniture", 3) for k in range(16, 21)}
+    monkeypatch.setattr(scans, "SHARED", 0)
+    assert noise() == want
+
+
 def test_running_lines_of_one_text():
     lines = "Acme Annual Report 2023 | page 7\none\ntwo\n\f\nAcme Annual Report 2023 | page 8\nthree\nfour\n\f\nAcme Annual Report 2023 | page 9\nfive\nsix".split("\n")
     assert scans.furniture(lines, None) == {0, 4, 8}
