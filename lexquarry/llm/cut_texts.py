@@ -6,8 +6,8 @@ for, the corpus is counted exactly: how often it stands anywhere, at the end of
 to long ones each order is smoothed by the one before, which gives the likelihood of the context under "the text ends here"
 against "the text goes on here", as log-odds. A value is cut if its log-odds are below the threshold of its language and column.
 
-The thresholds come from held-out cuts the operator makes itself: of a bounded sample of texts (``HELD``) the true end is set
-against a place chosen by a hash. A mark of omission or a remnant of markup after the cut is taken off first, and what stands
+The thresholds come from held-out cuts the operator makes itself: of every text the true end is set against a place chosen by
+a hash. A mark of omission or a remnant of markup after the cut is taken off first, and what stands
 before it is judged; an ellipsis in place of a full stop is judged by whether a stop is likely after the words before it. Stops
 inside an open quotation or bracket are signs of their own, so that an end there is told from one outside by the model too.
 
@@ -42,8 +42,8 @@ HEADS = (3, 6, 10, 16, 24)
 WEIGHT, WEIGHT_HEAD, WEIGHT_STOP, FLOOR = 60.0, 2.0, 20.0, -4.0
 #: Bits of the sieve that keeps contexts nobody asks for out of the shuffle: at least 16 for each context asked, between these powers of two.
 SIEVE = (20, 27)
-#: Texts of which held-out cuts are made, about; and the fewest of a language for a threshold of its own.
-HELD, FEWEST = 20_000, 1_000
+#: The fewest held-out texts of a language for a threshold of its own.
+FEWEST = 1_000
 #: Signs that end a sentence; a text that ends in one of them with its closing marks ends in a stop.
 STOP = ".!?…。！？।؟"
 ENDED = re.compile(rf"[{STOP}][”»“\"’)\]」』\s]*$")
@@ -353,42 +353,46 @@ def train(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return sums.join(asked.unionByName(fixed), "key", "left_semi")
 
 
-def pack_case(c: Case) -> tuple[int, str, list[int]]:
-    """The number of a case, what it is without its contexts, as JSON, and its contexts."""
+def pack_case(c: Case, both: bool = False) -> tuple[int, str, list[int]]:
+    """The number of a case, what it is without its contexts, as JSON, and its contexts; ``both``: the last signs are judged as a stop too."""
     keys = [*c.tails, *(c.heads or ())]
-    rest = json.dumps([c.kind, c.lang, len(c.tails), c.heads is not None, c.free, c.own, c.own_head])
+    rest = json.dumps([c.kind, c.lang, len(c.tails), c.heads is not None, c.free, c.own, c.own_head, both])
     return _fingerprint(f"{rest}{keys}"), rest, keys
 
 
-def unpack_case(rest: str, keys: list[int]) -> Case:
-    kind, lang, n, headed, free, own, own_head = json.loads(rest)
-    return Case(kind, lang, keys[:n], keys[n:] if headed else None, free, tuple(own), tuple(own_head))
+def unpack_case(rest: str, keys: list[int]) -> tuple[Case, bool]:
+    kind, lang, n, headed, free, own, own_head, both = json.loads(rest)
+    return Case(kind, lang, keys[:n], keys[n:] if headed else None, free, tuple(own), tuple(own_head)), both
 
 
-def _cases(share: float):
+def _cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The case of each text, further cases held out (with a label), and the contexts whose counts a case asks for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # of some HELD texts
-        for b in batches:
-            at, labels, asks, sample = [], [], [], []
-            texts = b.column("text").to_pylist()
-            for t in texts:  # copies of a text are held out once
-                f = None if t is None else _fingerprint(t.rstrip())
-                sample.append(f is not None and (f >> 2 & 0xFFFFFFFF) < share * 2**32 and f not in seen)
-                if sample[-1]:
-                    seen.add(f)
-            for i, (own, held) in enumerate(cases_of(texts, sample)):
-                for c, label in [(own, None), *held]:
-                    at.append(i)
-                    labels.append(label)
-                    asks.append((None, None, None) if c is None else pack_case(c))
-            i = pa.array(at, pa.int32())
-            of = pa.array([None if label is None else _fingerprint(texts[k].rstrip()) for k, label in zip(at, labels)], pa.int64())
-            columns = [pa.array(labels, pa.bool_()), of, *[pa.array([a[k] for a in asks], t) for k, t in enumerate((pa.int64(), pa.string(), pa.list_(pa.int64())))]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(i), b.column("source").take(i), *columns], ["doc_id", "source", "label", "of", "ask", "case", "keys"])
-
-    return run
+    seen: set[int] = set()
+    for b in batches:
+        at, labels, asks, first = [], [], [], []
+        texts = b.column("text").to_pylist()
+        for t in texts:  # most copies of a text are left out here, the others when texts are counted
+            f = None if t is None else _fingerprint(t.rstrip())
+            if len(seen) > 200_000:
+                seen.clear()
+            first.append(f is not None and f not in seen)
+            seen.add(f)
+        for i, (own, held) in enumerate(cases_of(texts, first)):
+            own_ask = (None, None, None) if own is None else pack_case(own)
+            at.append(i)
+            labels.append(None)
+            asks.append(own_ask)
+            made = any(label and c.kind == "stop" for c, label in held)
+            for c, label in held:
+                if label and c.kind == "stop":  # stands at the place of the cut that is judged as an end
+                    continue
+                at.append(i)
+                labels.append(label)
+                asks.append((own_ask[0], None, None) if c == own else pack_case(c, made and label))
+        i = pa.array(at, pa.int32())
+        of = pa.array([None if label is None else _fingerprint(texts[k].rstrip()) for k, label in zip(at, labels)], pa.int64())
+        columns = [pa.array(labels, pa.bool_()), of, *[pa.array([a[k] for a in asks], t) for k, t in enumerate((pa.int64(), pa.string(), pa.list_(pa.int64())))]]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(i), b.column("source").take(i), *columns], ["doc_id", "source", "label", "of", "ask", "case", "keys"])
 
 
 def _judge(empty: dict[int, tuple[int, int, int]]):
@@ -396,13 +400,16 @@ def _judge(empty: dict[int, tuple[int, int, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds, langs, scores = [], [], []
-            for rest, keys, counts in zip(b.column("case").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                case = unpack_case(rest, keys)
-                kinds.append(case.kind)
-                langs.append(case.lang)
-                scores.append(log_odds(case, empty | {x["key"]: tuple(x[n] for n in COUNTS) for x in counts or ()}))
-            yield pa.RecordBatch.from_arrays([b.column("ask"), pa.array(kinds, pa.string()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["ask", "kind", "lang", "score"])
+            asks, kinds, langs, scores = [], [], [], []
+            for ask, rest, keys, counts in zip(*[b.column(c).to_pylist() for c in ("ask", "case", "keys", "counts")]):
+                case, both = unpack_case(rest, keys)
+                model = empty | {x["key"]: tuple(x[n] for n in COUNTS) for x in counts or ()}
+                for c in (case, case._replace(kind="stop", heads=None)) if both else (case,):
+                    asks.append(ask)
+                    kinds.append(c.kind)
+                    langs.append(c.lang)
+                    scores.append(log_odds(c, model))
+            yield pa.RecordBatch.from_arrays([pa.array(asks, pa.int64()), pa.array(kinds, pa.string()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["ask", "kind", "lang", "score"])
 
     return run
 
@@ -456,26 +463,26 @@ def thresholds(held: DataFrame) -> dict[tuple[str, str], float]:
     return {k: threshold(*v) for k, v in sums.items() if not k[1] or min(sum(v[0].values()), sum(v[1].values())) >= FEWEST}
 
 
-def scored(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, source, ask`` of every document, and ``ask, kind, lang, score, label, n`` of all cases; ``label`` and the number of texts of those held out."""
+def scored(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, source, ask`` of every document; ``ask, kind, lang, score`` of all cases; ``ask, label, n`` of those held out, with the number of texts."""
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, source string, label boolean, of bigint, ask bigint, case string, keys array<bigint>"
-    share = min(1.0, HELD / max(1, documents.count()))
-    rows = cut(documents.select("doc_id", "source", "text").mapInArrow(_cases(share), schema))
-    asking = cut(rows.where("ask is not null").select("ask", "case", "keys").dropDuplicates(["ask"]))  # copies ask the same
+    rows = cut(documents.select("doc_id", "source", "text").mapInArrow(_cases, schema))
+    asking = cut(rows.where("case is not null").select("ask", "case", "keys").dropDuplicates(["ask"]))  # copies ask the same
     held = rows.where("label is not null").select("ask", "label", "of").distinct().groupBy("ask", "label").agg(F.count("*").alias("n"))  # texts
     keyed = asking.select("ask", F.explode(F.array_distinct("keys")).alias("key"))
     counts = cut(train(distinct_texts(documents), cut(keyed.select("key").distinct())))
     empty = {r["key"]: tuple(r[c] for c in COUNTS) for r in counts.where(F.col("key").isin(EMPTY, *LINES)).collect()}  # three rows
-    found = keyed.join(counts, "key").groupBy("ask").agg(F.collect_list(F.struct("key", *COUNTS)).alias("counts"))  # some ten
+    # a case leaves out its own occurrence: a context seen once, neither at an end nor before a stop, says as much as one never seen
+    found = keyed.join(counts.where("seen > 1 or ends > 0 or stops > 0"), "key").groupBy("ask").agg(F.collect_list(F.struct("key", *COUNTS)).alias("counts"))  # some ten
     told = cut(asking.join(found, "ask", "left").mapInArrow(_judge(empty), "ask bigint, kind string, lang string, score double"))
-    return rows.where("label is null").select("doc_id", "source", "ask"), told.join(held, "ask", "left")
+    return rows.where("label is null").select("doc_id", "source", "ask"), told, held
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """``doc_id, source, cut`` of every document; ``documents``: ``doc_id, source, text``."""
-    rows, told = scored(documents)
-    bars = thresholds(told.where("label is not null"))
+    rows, told, held = scored(documents)
+    bars = thresholds(told.join(held, "ask"))
     bar = F.lit(0.0)
     for (kind, lang), t in sorted(bars.items()):  # the general threshold of a kind first, those of languages over it
         bar = F.when((F.col("kind") == kind) & ((F.col("lang") == lang) if lang else F.lit(True)), F.lit(t)).otherwise(bar)

@@ -649,3 +649,21 @@ def test_copies_of_a_cut_text_are_cut(spark, corpus):
     d = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(5)
     hit = {r.doc_id for r in cut_texts.judged(d).where("cut").collect()}
     assert {r[0] for r in rows if r[0] >= 1000} <= hit and len([i for i in hit if i < 1000]) <= 6
+
+
+def test_thresholds_come_from_every_text(spark, monkeypatch):
+    word = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    text = F.concat(F.lit("Organ prowadzi wykaz "), word, F.lit(" w terminie. Koszty lasu "), word, F.lit(" wynoszą wiele."))
+    d = spark.range(25_000).select((F.col("id") % 24_000).alias("doc_id"), F.lit("a").alias("source"), text.alias("text"))
+    d = d.unionByName(d.where("doc_id < 500").repartition(3))  # copies count once
+    got, inner = {}, cut_texts.thresholds
+
+    def told(held):
+        got.update({(r.kind, r.label): r.n for r in held.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()})
+        return inner(held)
+
+    monkeypatch.setattr(cut_texts, "thresholds", told)
+    cut_texts.judged(d)
+    made = [cut_texts.cases_of([t], [True])[0][1] for (t,) in d.select("text").distinct().collect()]
+    want = {(kind, label): sum(c.kind == kind and x == label for cases in made for c, x in cases) for kind in ("end", "stop") for label in (False, True)}
+    assert want["end", False] == 25_000 and got == {k: n for k, n in want.items() if n}
